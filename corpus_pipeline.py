@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pairloom.llm import exact_dedup, mixing, simhash
+from pairloom.llm import exact_dedup, mixing, packing, quality, simhash
 from pairloom.llm.common import documents, materialize
 
 
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier scores below its threshold go."""
+    return quality.accept(docs, quality.learned(spark, docs, sf_dir))
+
+
 def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents with equal texts but for white space, the longest stays, then the smallest doc_id."""
     return exact_dedup.keep_first(docs)
@@ -23,10 +28,17 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return mixing.apply_mix(docs)
 
 
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of the documents' token ids in sequences; a document taken twice is packed twice."""
+    return packing.pieces(docs)
+
+
 STAGES = [
+    ("quality_classifier", quality_stage),
     ("exact_dedup", exact_dedup_stage),
     ("simhash_near_dedup", simhash_stage),
     ("mixing", mixing_stage),
+    ("packing", packing_stage),
 ]
 
 #: Classifiers, fingerprints and packing have no SQL; tests hold the stages against brute force.

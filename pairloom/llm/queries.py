@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from pairloom.llm import exact_dedup, mixing, simhash
+from pairloom.llm import exact_dedup, hnsw, mixing, packing, quality, simhash, token_files, toxicity
 
 QUERIES = {
     "op2_simhash": simhash.op2_simhash,
+    "op4_token_files": token_files.op4_token_files,
+    "op5_packing": packing.op5_packing,
+    "op6_toxicity": toxicity.op6_toxicity,
+    "op7_quality": quality.op7_quality,
+    "op8_hnsw": hnsw.op8_hnsw,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     "op10_mixing": mixing.op10_mixing,
 }
