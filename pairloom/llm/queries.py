@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pairloom.llm import exact_dedup, hnsw, mixing, packing, quality, simhash, token_files, toxicity
+from pairloom.llm import exact_dedup, hnsw, mixing, packing, quality, simhash, token_files, toxicity, url_filter, warc
 
 QUERIES = {
+    "op1_url_filter": url_filter.op1_url_filter,
     "op2_simhash": simhash.op2_simhash,
+    "op3_warc": warc.op3_warc,
     "op4_token_files": token_files.op4_token_files,
     "op5_packing": packing.op5_packing,
     "op6_toxicity": toxicity.op6_toxicity,
@@ -16,5 +18,6 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op3_warc": warc.ORACLE,
     "op9_exact_dedup": exact_dedup.ORACLE,
 }
