@@ -1,4 +1,7 @@
 """The registered queries and the SQL that gives the same rows."""
 
-QUERIES = {}
-ORACLES = {}
+from pairloom.plans import selection_queries
+
+_PARTS = (selection_queries,)
+QUERIES = {name: f for p in _PARTS for name, f in p.QUERIES.items()}
+ORACLES = {name: sql for p in _PARTS for name, sql in p.ORACLES.items()}
