@@ -10,7 +10,7 @@ _NAME = r"([^/]*)_(train|val|test)\.txt$"
 
 def lines(spark: SparkSession, path: str, glob: str = "*.txt") -> DataFrame:
     """file, line_no, line of text files that fit in memory one by one, as pair files and logs do."""
-    files = spark.read.option("wholetext", True).option("pathGlobFilter", glob).text(path).select("value", F.col("_metadata.file_path").alias("file"))
+    files = spark.read.option("pathGlobFilter", glob).text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("file"))
     rows = files.select("file", F.posexplode(F.split("value", "\n")).alias("line_no", "line"))
     return rows.where(F.col("line") != "").select("file", "line_no", F.rtrim(F.regexp_replace("line", "\r$", "")).alias("line"))
 
