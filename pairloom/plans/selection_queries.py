@@ -309,3 +309,30 @@ def pooled_valid(spark, d):
     own = val.join(n.where("n >= 6"), F.col("domain") == F.col("target"))
     pooled = val.join(small(n.where("n < 6")), F.lit(True))
     return own.unionByName(pooled).select("target", "domain", "pair_idx")
+
+
+@query("select_ensemble")
+def select_ensemble(spark, d):
+    """The training sets of an ensemble, one per method."""
+    from pairloom.operators import methods
+
+    return methods.select_ensemble(raw_pairs(spark, d), "spec-nn-tv_mmd", BUDGET)
+
+
+_GRID = f"""
+WITH {PAIRS}, g AS (SELECT * FROM (SELECT unnest([22, 42]) AS seed) CROSS JOIN (SELECT unnest([5, 10]) AS budget)),
+r AS (SELECT seed, budget, domain, row_number() OVER (PARTITION BY seed, budget, domain ORDER BY md5(concat_ws('|', seed, domain, pair_idx)), pair_idx) - 1 AS pos, pair_idx,
+      count(*) OVER (PARTITION BY seed, budget, domain) AS n FROM g CROSS JOIN train)
+SELECT CAST(seed AS INT) AS seed, CAST(budget AS INT) AS budget, domain AS target, CAST(pos AS BIGINT) AS out_pos, pair_idx FROM r WHERE n >= budget AND pos < budget
+"""
+
+
+@query("budget_grid", _GRID)
+def budget_grid(spark, d):
+    """Seeds by budgets of one method; here the domains with enough rows of their own."""
+    from pairloom.operators import methods
+
+    pairs = raw_pairs(spark, d)
+    rich = part(pairs, "train").groupBy("domain").agg(F.count(F.lit(1)).alias("n"))
+    out = methods.grid((22, 42), (5, 10), ("spec",), lambda s, b, m: methods.select(pairs, m, b, s))
+    return out.join(rich, F.col("target") == F.col("domain")).where("n >= budget").select("seed", "budget", "target", "out_pos", "pair_idx")

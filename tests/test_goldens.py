@@ -270,3 +270,14 @@ def test_streams(spark, tmp_path):
     assert sorted(r["match"] for r in spark.read.json(str(tmp_path / "out")).collect()) == [0, 1]
     events = spark.sql("SELECT timestamp'2024-01-01 00:10:00' AS ts, 'k' AS key, 2.0 AS value")
     assert windowed(events, "ts", "key", "value").first()["n"] == 1
+
+
+@pytest.mark.parametrize(("name", "parsed"), [("spec", ("spec", "cs")), ("tv", ("tv", "cs")), ("tv_kde2d", ("tv", "kde2d")), ("tt_mmd", ("tt", "mmd")), ("kcg", ("kcg", "cs"))])
+def test_method_names(name, parsed):
+    from pairloom.operators import methods
+
+    assert methods.parse(name) == parsed
+    with pytest.raises(ValueError):
+        methods.parse("other")
+    assert methods.ensemble("kcg-tv") == ["kcg", "tv"]
+    assert methods.run_tag("wdc/x", lm="a/b", da="del") == "wdc_x_lm=a_b_da=del"
