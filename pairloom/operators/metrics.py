@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pairloom.functions.vectors import let
+
 PAIRWISE = [i * 0.05 for i in range(20)]
 COSINE = [i * 0.01 for i in range(101)]
 
@@ -30,7 +32,7 @@ def sweep(scored: DataFrame, keys: list[str], thresholds: list[float]) -> DataFr
     Scores are counted by the number of thresholds below them, so a row is read once, not once a threshold.
     """
     steps = F.array(*[F.lit(t) for t in thresholds])
-    below = F.size(F.filter(steps, lambda t: F.col("score") > t))
+    below = let(F.col("score"), lambda s: F.size(F.filter(steps, lambda t: s > t)))
     cells = scored.select(*keys, "label", below.alias("below")).groupBy(*keys, "below").agg(
         F.sum(F.when(F.col("label") == 1, 1).otherwise(0)).alias("pos"), F.count(F.lit(1)).alias("n")
     )
