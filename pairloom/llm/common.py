@@ -77,6 +77,13 @@ def ship(spark: SparkSession) -> None:
     spark.sparkContext.addPyFile(f"{folder}/pairloom_ship.zip")
 
 
+def slices(batches, rows: int = 1000):
+    """Arrow batches in pieces of at most `rows`: what a task holds of ids and words stays small."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def text_or_empty(col: str = "text") -> Column:
     return F.coalesce(F.col(col), F.lit(""))
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairloom.llm.common import documents, shared_path, ship, text_or_empty
+from pairloom.llm.common import documents, shared_path, ship, slices, text_or_empty
 from pairloom.llm.tokenize import default_tokenizer, encoder
 
 SIZE = 2048
@@ -117,7 +117,7 @@ def _pack_texts(batches: Iterator[pa.RecordBatch], path: str, end_id: int, size:
     part = TaskContext.get().partitionId()
     enc, packer, end = encoder(path), Packer(windows, size, _first(0, part)), np.array([end_id], "<u4").tobytes()
     kind = pa.int64()
-    for b in batches:
+    for b in slices(batches):
         kind = b.schema.field("doc_id").type
         for doc, ids in zip(b.column("doc_id").to_pylist(), enc.encode(b.column("text").to_pylist()), strict=True):
             packer.add(doc, 0, ids + end, len(ids) // 4 + 1)

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairloom.llm.common import bounded_broadcast, documents, materialize, ship
+from pairloom.llm.common import bounded_broadcast, documents, materialize, ship, slices
 from pairloom.llm.components import connected_components
 
 SHINGLE = 3
@@ -97,7 +97,7 @@ def fingerprint_batch(texts: list[bytes], shingle: int = SHINGLE) -> np.ndarray:
 
 
 def _fingerprint_arrow(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in slices(batches):
         texts = b.column("text").to_pylist()
         prints = fingerprint_batch(texts, shingle).astype("int64", casting="unsafe")
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(prints, pa.int64())], names=["doc_id", "fp"])

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairloom.llm import store
-from pairloom.llm.common import documents, materialize, shared_path, ship, text_or_empty
+from pairloom.llm.common import documents, materialize, shared_path, ship, slices, text_or_empty
 from pairloom.llm.token_codec import file_chunks, read_file
 from pairloom.llm.tokenize import default_tokenizer, encoder
 
@@ -31,7 +31,8 @@ def _write(batches: Iterator[pa.RecordBatch], folder: str, path: str, end_id: in
     from pyspark import TaskContext
 
     part, enc, end = TaskContext.get().partitionId(), encoder(path), np.array([end_id], "<u4").tobytes()
-    first = next((b for b in batches if b.num_rows), None)
+    batches = slices(batches)
+    first = next(batches, None)
     if first is None:
         return
 

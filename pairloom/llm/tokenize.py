@@ -1,8 +1,10 @@
 """Token ids of whole texts by the tokenizers library, with a memo of words per Python process.
 
-A text is cut where a byte-level BPE with the usual word pattern never joins: before white space that follows another
-character, and between a word of Latin letters and the punctuation that ends it. Each different piece is encoded once
-by the library; a text's ids are its pieces' ids in a row. A text with white space beyond ASCII is encoded whole.
+A text is cut where a byte-level BPE with the usual word pattern never joins: before a single space or at a single line
+end between two characters that are not white space. Each different piece is encoded once by the library (a word of
+Latin letters and the punctuation after it apart, which such a BPE never joins either); a text's ids are its pieces' ids
+in a row. A text with longer runs of white space is cut before each run; one with white space beyond ASCII next to a cut
+is encoded whole.
 """
 
 from __future__ import annotations
@@ -11,14 +13,14 @@ import os
 import re
 from array import array
 
-#: Pieces that a process remembers before it starts afresh; about 220 bytes each.
-MEMO = 1_500_000
+#: Pieces that a generation of the memo holds; about 220 bytes each, and there are two generations.
+MEMO = 450_000
 
 _WS = r"[ \t-\r]"
 _LATIN = "A-Za-zÀ-ÖØ-öø-ɏ"
 _pieces = re.compile(rf"{_WS}*+[{_LATIN}]++(?=[.,!?;:|]*+(?![^ \t-\r]))|{_WS}*+[^ \t-\r]++|{_WS}+").findall
 _odd_space = re.compile("[\x1c-\x1f\x85\xa0  -     　]").search
-_one_word = re.compile(f" ?[{_LATIN}]+").fullmatch
+_word = re.compile(f"( ?[{_LATIN}]+)([.,!?;:|]*)").fullmatch
 
 
 def _byte_letters() -> dict[int, int]:
@@ -28,6 +30,29 @@ def _byte_letters() -> dict[int, int]:
     return {b: b for b in shown} | {b: 256 + i for i, b in enumerate(hidden)}
 
 
+class _Words(dict):
+    """Ids of pieces that all stand after `lead`; what is missing is encoded and kept. None: a piece that is no safe cut.
+
+    There are two generations: when this one is full it becomes the one before, from which what is asked for moves on.
+    """
+
+    def __init__(self, encode, lead: str):
+        super().__init__()
+        self.encode, self.lead, self.before = encode, lead, {}
+
+    def __missing__(self, word: str) -> bytes | None:
+        if word in self.before:
+            own = self.before[word]
+        else:
+            own = None if not word or word[0].isspace() or word[-1].isspace() else self.encode(self.lead + word)
+        self[word] = own
+        return own
+
+    def turn(self) -> None:
+        self.before = dict(self)
+        self.clear()
+
+
 class Encoder:
     """encode(texts) gives each text's ids as little-endian unsigned 32-bit integers."""
 
@@ -46,37 +71,69 @@ class Encoder:
         )
         self.letters = _byte_letters()
         self.limit = memo
-        self.memo: dict[str, bytes] = {}
+        self.inner, self.first = _Words(self._piece, " "), _Words(self._piece, "")
+        self.memo: dict[str, bytes] = {}  # of punctuation and of pieces with their white space
+        self.newline = self._whole(["\n"])[0]
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, missing: list[str]) -> None:
-        model, letters, memo = self.tokenizer.model, self.letters, self.memo
-        rest = []
-        for w in missing:
-            if _one_word(w):
-                memo[w] = array("I", [t.id for t in model.tokenize(w.encode().decode("latin-1").translate(letters))]).tobytes()
-            else:
-                rest.append(w)
-        memo.update(zip(rest, self._whole(rest), strict=True))
+    def _piece(self, piece: str) -> bytes:
+        m = _word(piece)
+        if not m:
+            return self._whole([piece])[0]
+        if m[2] and piece[0] == " ":
+            return self.inner[m[1][1:]] + self._tail(m[2])
+        letters = m[1].encode().decode("latin-1").translate(self.letters)
+        own = array("I", [t.id for t in self.tokenizer.model.tokenize(letters)]).tobytes()
+        return own + self._tail(m[2]) if m[2] else own
+
+    def _tail(self, marks: str) -> bytes:
+        if marks not in self.memo:
+            self.memo[marks] = self._whole([marks])[0]
+        return self.memo[marks]
+
+    def _by_words(self, text: str) -> bytes | None:
+        """None: the text has white space that this doesn't cut."""
+        if "\n\n" in text or "  " in text:
+            return None
+        parts: list[bytes] = []
+        lines = text.split("\n")
+        for k, line in enumerate(lines):
+            if k:
+                parts.append(self.newline)
+                if not line and k == len(lines) - 1:
+                    break
+            words = line.split(" ")
+            start = words[0]
+            if start or k:
+                parts.append(self.first[start])
+            elif len(lines) > 1 and len(words) == 1:
+                continue  # the text begins with a line end
+            del words[0]
+            parts += map(self.inner.__getitem__, words)
+        try:
+            return b"".join(parts)
+        except TypeError:
+            return None
+
+    def _by_runs(self, text: str) -> bytes:
+        if _odd_space(text):
+            return self._whole([text])[0]
+        pieces = _pieces(text)
+        missing = [w for w in dict.fromkeys(pieces) if w not in self.memo]
+        self.memo.update(zip(missing, self._whole(missing), strict=True))
+        return b"".join(map(self.memo.__getitem__, pieces))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.by_piece:
             return self._whole(texts)
         out = []
         for text in texts:
-            if _odd_space(text):
-                out += self._whole([text])
-                continue
-            pieces = _pieces(text)
-            try:
-                out.append(b"".join(map(self.memo.__getitem__, pieces)))
-            except KeyError:
-                self._learn([w for w in dict.fromkeys(pieces) if w not in self.memo])
-                out.append(b"".join(map(self.memo.__getitem__, pieces)))
-                if len(self.memo) > self.limit:
-                    self.memo.clear()
+            own = self._by_words(text)
+            out.append(self._by_runs(text) if own is None else own)
+            if len(self.inner) + len(self.first) + len(self.memo) > self.limit:
+                self.inner.turn(), self.first.turn(), self.memo.clear()
         return out
 
 
