@@ -2,10 +2,10 @@
 
 Ids go in blocks of BLOCK; each block starts from an empty model and has its own checksum, so blocks are coded alone and
 a damaged one is found. For each id the model has a candidate: what last followed the two ids before (order 2), else
-what last followed the one before (order 1). The chance that the candidate comes is mixed from three adaptive
-probabilities (by order-2 confidence, by order-1 confidence, by nothing: order 0) with weights that learn from each
-outcome. The range coder codes hit or miss; after a miss the id's high byte by its order-0 frequencies in
-the block so far, then its low byte. All arithmetic is on integers, so any machine decodes what another one wrote.
+what last followed the one before (order 1). The chance that the candidate comes is mixed from two adaptive
+probabilities, one by whether order 2 knows its context, the orders agree and the last candidate came, one by nothing (order 0), with
+a weight that learns from each outcome. The range coder codes hit or miss; after a miss the id's high byte by its order-0
+frequencies in the block so far, then its low byte. All arithmetic is on integers, so any machine decodes what another one wrote.
 
 NumPy runs many blocks in step: element j of each array is the state of block j.
 
@@ -30,80 +30,75 @@ LANES = 2048
 #: Ids below this can be stored.
 MAX_ID = 1 << 16
 
-_T1, _T2 = 1024, 1024
+_T1, _T2 = 1024, 2048
 _ONE = 1 << 16
 #: The coder's range stays from 2**32 up to 2**48 between ids; output is in words of 16 bits.
 _LOW, _TOP = 1 << 32, 48
 
 
-def _take(table: np.ndarray, at: np.ndarray) -> np.ndarray:
-    return np.take(table, at, mode="clip")
-
-
 class _Lanes:
-    """The model's state for n blocks, the same in coder and decoder."""
+    """The model's state for n blocks, the same in coder and decoder. Integers of 32 bits keep it in the caches; where they overflow, they do so alike on both sides."""
 
     def __init__(self, n: int):
         ar = np.arange(n, dtype="int64")
-        self.t1, self.t2 = np.zeros(n * _T1, "int64"), np.zeros(n * _T2, "int64")
+        self.t1, self.t2 = np.full(n * _T1, -1, "int32"), np.full(n * _T2, -1, "int32")
         self.b1, self.b2 = ar * _T1, ar * _T2
-        self.p1, self.p2, self.p0 = (np.full(n * k, _ONE // 8, "int64") for k in (8, 8, 1))
+        self.q, self.p0 = np.full(n * 8, _ONE // 8, "int32"), np.full(n, _ONE // 8, "int32")
         self.b8 = ar * 8
-        self.w1, self.w2 = np.full(n, _ONE // 3, "int64"), np.full(n, _ONE // 3, "int64")
-        self.counts = np.zeros((n, 256), "int64")
-        self.cum = np.zeros((n, 257), "int64")
+        self.w = np.full(n, _ONE * 3 // 4, "int32")
+        self.counts = np.zeros((n, 257), "int32")
+        self.seen: list[np.ndarray] = []
+        self.cum = np.zeros((n, 257), "int32")
         self.cum[:] = np.arange(257) * 16
-        self.flat, self.flat_counts = self.cum.ravel(), self.counts.ravel()
+        self.flat = self.cum.ravel()
         self.b256, self.b257 = ar * 256, ar * 257
-        self.a, self.b, self.hit = np.zeros(n, "int64"), np.zeros(n, "int64"), np.zeros(n, "int64")
+        self.a, self.b, self.hit = np.zeros(n, "int32"), np.zeros(n, "int32"), np.zeros(n, "int8")
         self.n = n
 
     def shrink(self, n: int) -> None:
         """The last blocks have ended."""
-        for k in ("b1", "b2", "b8", "p0", "w1", "w2", "b256", "b257", "a", "b", "hit"):
+        for k in ("b1", "b2", "b8", "p0", "w", "b256", "b257", "a", "b", "hit"):
             setattr(self, k, getattr(self, k)[:n])
         self.n = n
 
     def predict(self) -> tuple[np.ndarray, np.ndarray]:
         """The candidates and the chances, in 4096ths from 1 to 4095, that they come."""
-        first = self.a * 40503
+        first = self.a * 29791
         self.i1 = self.b1 + ((first >> 4) & (_T1 - 1))
         self.i2 = self.b2 + ((first + self.b * 30011 >> 5) & (_T2 - 1))
-        e1, e2 = _take(self.t1, self.i1), _take(self.t2, self.i2)
-        self.k1, self.k2 = e1 >> 16, e2 >> 16
-        self.e1, self.e2 = e1 & 0xFFFF, e2 & 0xFFFF
-        candidate = np.where(self.k2 > 0, self.e2, self.e1)
-        self.x2 = self.b8 + self.k2 + ((self.e1 == self.e2).view("int8") << 2)
-        self.x1 = self.b8 + self.k1 + (self.hit << 2)
-        self.q2, self.q1 = _take(self.p2, self.x2), _take(self.p1, self.x1)
-        self.d2, self.d1 = self.q2 - self.p0, self.q1 - self.p0
-        p = self.p0 + (self.w2 * self.d2 + self.w1 * self.d1 >> 16) >> 4
+        e1, e2 = self.t1[self.i1], self.t2[self.i2]
+        known = e2 >= 0
+        candidate = np.where(known, e2, e1)
+        self.x = self.b8 + (known.view("int8") + ((e1 == e2).view("int8") << 1) + self.hit)
+        self.own = self.q[self.x]
+        self.d = self.own - self.p0 >> 4
+        p = (self.p0 >> 4) + (self.w * self.d >> 16)
         self.p = np.minimum(np.maximum(p, 1), 4095)
         return candidate, self.p
 
     def learn(self, ids: np.ndarray, hit: np.ndarray) -> None:
-        h = hit.astype("int64")
-        goal = (h << 16) - h
-        self.p2[self.x2] = self.q2 + (goal - self.q2 >> 5)
-        self.p1[self.x1] = self.q1 + (goal - self.q1 >> 5)
+        h = hit.astype("int32")
+        goal = h * 65535
+        self.q[self.x] = self.own + (goal - self.own >> 5)
         self.p0 += goal - self.p0 >> 6
-        err = (h << 12) - self.p
-        self.w2 += self.d2 * err >> 18
-        self.w1 += self.d1 * err >> 18
-        self.t1[self.i1] = (np.minimum(self.k1 * (self.e1 == ids) + 1, 3) << 16) | ids
-        self.t2[self.i2] = (np.minimum(self.k2 * (self.e2 == ids) + 1, 3) << 16) | ids
-        self.b, self.a, self.hit = self.a, ids, h
+        self.w += self.d * ((h << 12) - self.p) >> 14
+        self.t1[self.i1] = ids
+        self.t2[self.i2] = ids
+        self.b, self.a, self.hit = self.a, ids, hit.view("int8") << 2
 
-    def count(self, high: np.ndarray, miss: np.ndarray) -> None:
-        at = self.b256 + high
-        self.flat_counts[at] = _take(self.flat_counts, at) + miss
+    def count(self, high: np.ndarray, hit: np.ndarray) -> None:
+        """Remembers the high bytes of this step's misses; a hit counts as a byte 256 that is never coded."""
+        self.seen.append(self.b257 + np.where(hit, 256, high))
 
     def rebuild(self, step: int) -> bool:
         """New order-0 frequencies at some steps: 1 for each byte, the rest by the counts; the last byte takes what rounding leaves."""
         if step & (step - 1) and step % 256 or step < 16:
             return False
-        seen = np.maximum(self.counts.sum(axis=1, keepdims=True), 1)
-        np.cumsum(1 + self.counts * 3840 // seen, axis=1, out=self.cum[:, 1:])
+        self.counts += np.bincount(np.concatenate(self.seen), minlength=self.counts.size).astype("int32").reshape(self.counts.shape)
+        self.seen.clear()
+        counts = self.counts[:, :256]
+        seen = np.maximum(counts.sum(axis=1, keepdims=True), 1)
+        np.cumsum(1 + counts * 3840 // seen, axis=1, out=self.cum[:, 1:], dtype="int32")
         self.cum[:, 256] = 4096
         return True
 
@@ -111,7 +106,7 @@ class _Lanes:
         """For each block and each 16th of the frequencies' range, the byte that its start belongs to."""
         cells = (self.cum[:, 1:256] + 15 >> 4) + np.arange(len(self.cum))[:, None] * 257
         begun = np.bincount(cells.ravel(), minlength=len(self.cum) * 257).reshape(-1, 257)
-        return np.cumsum(begun, axis=1)[:, :256].ravel()
+        return np.cumsum(begun, axis=1)[:, :256].astype("uint8").ravel()
 
 
 def _steps(lengths: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -125,7 +120,7 @@ def encode_blocks(ids: np.ndarray, block: int = BLOCK) -> list[bytes]:
     if not len(ids):
         return []
     n = -(-len(ids) // block)
-    grid = np.zeros(n * block, "int64")
+    grid = np.zeros(n * block, "int32")
     grid[: len(ids)] = ids
     grid = np.ascontiguousarray(grid.reshape(n, block).T)
     lengths = np.full(n, block)
@@ -162,10 +157,10 @@ def encode_blocks(ids: np.ndarray, block: int = BLOCK) -> list[bytes]:
         bound = (rng >> 12) * p
         high = sym >> 8
         at = model.b257 + high
-        c = _take(model.flat, at)
+        c = model.flat[at]
         # After a miss: the high byte, then the low byte, in what is left of the range.
         r = (rng - bound) >> 12
-        r2 = r * (_take(model.flat, at + 1) - c) >> 8
+        r2 = r * (model.flat[at + 1] - c) >> 8
         low += np.where(hit, 0, bound + r * c + r2 * (sym & 0xFF))
         rng = np.where(hit, bound, r2)
         small = np.flatnonzero(rng < _LOW)
@@ -173,7 +168,7 @@ def encode_blocks(ids: np.ndarray, block: int = BLOCK) -> list[bytes]:
             put(small)
             rng[small] <<= 16
             small = small[rng[small] < _LOW]
-        model.count(high, ~hit)
+        model.count(high, hit)
         model.learn(sym, hit)
     end(np.arange(len(low)))
     return [out[i * cap : pos[i]].astype("<u2").tobytes() for i in range(n)]
@@ -204,32 +199,33 @@ def decode_blocks(payloads: list[bytes], lengths: list[int]) -> list[np.ndarray]
         hit = code < bound
         r = (rng - bound) >> 12
         rest = code - bound
-        v = np.minimum(np.maximum(rest, 0) // r, 4095)
-        high = _take(cells, model.b256 + (v >> 4))
+        v = np.minimum((rest / r).astype("int64"), 4095)  # exact: both are below 2**53, the quotient below 2**13
+        v *= ~hit
+        high = cells[model.b256 + (v >> 4)]
         at = model.b257 + high
-        after = _take(model.flat, at + 1)
+        after = model.flat[at + 1]
         up = np.flatnonzero(after <= v)
         while len(up):
             at[up] += 1
             after[up] = model.flat[at[up] + 1]
             up = up[after[up] <= v[up]]
-        c = _take(model.flat, at)
+        c = model.flat[at]
         r2 = r * (after - c) >> 8
         rest -= r * c
-        low_byte = np.minimum(rest // r2, 255)
+        low_byte = np.minimum((rest / r2).astype("int64"), 255)
         high = at - model.b257
-        sym = np.where(hit, candidate, (high << 8) | low_byte)
+        sym = np.where(hit, candidate, (high << 8) | low_byte).astype("int32")
         code = np.where(hit, code, rest - r2 * low_byte)
         rng = np.where(hit, bound, r2)
         small = np.flatnonzero(rng < _LOW)
         while len(small):
             where = pos[small]
-            code[small] = (code[small] << 16) | _take(words, where)
+            code[small] = (code[small] << 16) | words[where]
             pos[small] = where + 1
             rng[small] <<= 16
             small = small[rng[small] < _LOW]
         grid[t, :now] = sym
-        model.count(high * ~hit, ~hit)
+        model.count(high, hit)
         model.learn(sym, hit)
     grid = np.ascontiguousarray(grid.T)
     return [grid[i, : size[i]] for i in range(n)]
