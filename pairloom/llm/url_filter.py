@@ -1,24 +1,29 @@
-"""URL filtering: given rules first, then association rules mined by Spark's FP-growth.
+"""URL filtering: given rules first, then association rules mined from the URLs.
 
 A given rule (host, path) fits its host and all subdomains if the URL's path starts with the rule's; the longest wins.
 The URLs that a rule decides are labelled examples. Every URL becomes a set of tokens (top-level name, domain, host
-labels, first path segments, extension), a labelled one with its label as a further item; FP-growth mines the frequent
-sets of all of them. Rules "tokens -> label" below the least confidence are pruned (URLs without a label count against a
-rule), and so are rules that a shorter one with at least the same confidence and label makes idle. An inverted index
-from each rule's rarest token to the rule matches them; the rule with the highest confidence, then support, decides.
+labels, first path segments, extension). The rules are those "tokens -> label" of at least SUPPORT (of all rows) and CONFIDENCE
+(URLs without a label count against a rule) that no shorter rule with at least the same confidence and label makes idle.
+They are mined level by level, without a cap: a set of tokens grows only while all its parts are live, i.e. some label has
+it often enough, no part has the same rows, and its rows don't all have one label. What is not live can only give idle
+rules, so tokens that always come together count as one and don't multiply. The counts are summed in Spark and only sets
+that are frequent reach the driver. An inverted index from each rule's rarest token to the rule matches them; the rule
+with the highest confidence, then support, decides.
 
 Defined results: a null URL, or one without "://", has empty host and path, no rule, and the verdict allow unless a mined
 rule with no further condition applied. Repeated rows get a row each. An empty table gives an empty result. Other columns
-are not read. Rules are at most MAX_RULES: while there are more, the least support doubles.
+are not read. The driver and each matching task hold the rules that are left after pruning.
 """
 
 from __future__ import annotations
 
+import math
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from itertools import combinations
 
 import pandas as pd
-from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,7 +33,8 @@ from pairloom.llm.common import materialize, ship
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
 SUPPORT = 0.005
 CONFIDENCE = 0.8
-MAX_RULES = 5000
+#: Sets that a counting task holds before it hands on its counts.
+HELD = 100_000
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
@@ -69,31 +75,95 @@ def tokens_of(host: str = "host", path: str = "path") -> Column:
     )
 
 
-def mine(examples: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE, most: int = MAX_RULES) -> list[dict]:
+def _grow(live: set[tuple[int, ...]], code: dict[str, int]):
+    """A mapInPandas function: counts, in each basket (items, verdict, n), the sets one larger all of whose subsets are live."""
+    tree: dict = {}
+    for own in live:
+        node = tree
+        for i in own:
+            node = node.setdefault(i, {})
+    depth = len(next(iter(live)))
+    wanted: dict[tuple, bool] = {}
+
+    def joined(node: dict, head: tuple, items: list[int]) -> Iterator[tuple]:
+        own = [i for i in items if i in node]
+        if len(head) < depth - 1:
+            for i in own:
+                yield from joined(node[i], (*head, i), items[bisect_right(items, i) :])
+        else:
+            for a, b in combinations(own, 2):
+                yield (*head, a, b)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        counts: Counter = Counter()
+
+        def flush() -> pd.DataFrame:
+            rows = [(list(own), verdict, n) for (own, verdict), n in counts.items()]
+            counts.clear()
+            return pd.DataFrame(rows, columns=["items", "verdict", "n"])
+
+        for rows in batches:
+            for items, verdict, n in zip(rows["items"], rows["verdict"], rows["n"], strict=True):
+                for own in joined(tree, (), sorted(code[t] for t in items)):
+                    if (ok := wanted.get(own)) is None:
+                        if len(wanted) > HELD:
+                            wanted.clear()
+                        ok = wanted[own] = all(own[:k] + own[k + 1 :] in live for k in range(len(own) - 2))
+                    if ok:
+                        counts[own, verdict] += n
+                        if len(counts) > HELD:
+                            yield flush()
+        yield flush()
+
+    return run
+
+
+def mine(examples: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE) -> list[dict]:
     """Rules from rows with tokens and verdict (null: no label): antecedent, verdict, confidence, support; pruned, best first."""
-    items = F.when(F.col("verdict").isNull(), F.col("tokens")).otherwise(F.concat("tokens", F.array(F.concat(F.lit("label="), "verdict"))))
-    baskets = materialize(examples.select(items.alias("items")).where(F.size("items") > 0), "baskets")
-    if baskets.where(F.exists("items", lambda x: x.startswith("label="))).isEmpty():
+    baskets = materialize(examples.select("tokens", "verdict").where((F.size("tokens") > 0) | F.col("verdict").isNotNull()), "baskets")
+    verdicts = sorted(r[0] for r in baskets.where("verdict IS NOT NULL").select("verdict").distinct().collect())
+    if not verdicts:
         return []
-    parts = int(examples.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    total = baskets.count()
+    least = math.ceil(support * total)
+
+    def frequent(rows: DataFrame, key: str) -> list:
+        """(key, rows, rows of each verdict) of the sets that a verdict has often enough; the others stay where they are."""
+        of = [F.coalesce(F.sum(F.when(F.col("verdict") == v, F.col("n"))), F.lit(0)) for v in verdicts]
+        sums = rows.groupBy(key).agg(F.sum("n").alias("n"), F.array(*of).alias("of"))
+        return [(r[0], r["n"], r["of"]) for r in sums.where(F.array_max("of") >= least).collect()]
+
+    rules: list[dict] = []
+    # Of each live set: its rows and, by verdict, the highest confidence of a rule from it or a part of it.
+    before: dict[tuple, tuple[int, list[float]]] = {(): (total + 1, [0.0] * len(verdicts))}
+    tokens = baskets.select(F.explode("tokens").alias("token"), "verdict", F.lit(1).alias("n"))
+    found = frequent(tokens, "token")
+    names = sorted(t for t, _, _ in found)
+    code = {t: i for i, t in enumerate(names)}
+    level = [((code[t],), n, of) for t, n, of in found]
+    sets = None
     while True:
-        model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence, numPartitions=parts).fit(baskets)
-        rules = model.associationRules.where(F.col("consequent")[0].startswith("label=") & ~F.exists("antecedent", lambda x: x.startswith("label=")))
-        rules = materialize(rules.select(F.sort_array("antecedent").alias("antecedent"), F.substring(F.col("consequent")[0], 7, 1000).alias("verdict"), "confidence", "support"), "rules")
-        if rules.count() <= most:
-            break
-        support *= 2
-    found = sorted((r.asDict() for r in rules.collect()), key=lambda r: (len(r["antecedent"]), -r["confidence"], r["antecedent"], r["verdict"]))
-    kept: list[dict] = []
-    by_first: dict[str, list[dict]] = {}
-    for r in found:
-        own = set(r["antecedent"])
-        shorter = (k for t in r["antecedent"] for k in by_first.get(t, ()))
-        if any(k["verdict"] == r["verdict"] and k["confidence"] >= r["confidence"] and own.issuperset(k["antecedent"]) for k in shorter):
-            continue
-        kept.append(r)
-        by_first.setdefault(r["antecedent"][0], []).append(r)
-    return sorted(kept, key=lambda r: (-r["confidence"], -r["support"], len(r["antecedent"]), r["antecedent"], r["verdict"]))
+        live: dict[tuple, tuple[int, list[float]]] = {}
+        for own, n, of in level:
+            parts = [before[own[:k] + own[k + 1 :]] for k in range(len(own))]
+            if any(n == rows for rows, _ in parts):
+                continue  # a part has the same rows, so it and what grows from it only repeat the part's rules
+            best = [max(p[1][v] for p in parts) for v in range(len(verdicts))]
+            for v, hits in enumerate(of):
+                if hits >= least and hits / n >= confidence and hits / n > best[v]:
+                    best[v] = hits / n
+                    rules.append({"antecedent": [names[i] for i in own], "verdict": verdicts[v], "confidence": hits / n, "support": hits / total})
+            if max(of) < n:  # else no larger set has a rule of more confidence
+                live[own] = n, best
+        if len(live) <= len(level[0][0]) if level else True:
+            break  # a set of k + 1 needs k + 1 live parts
+        if sets is None:
+            items = F.array_sort(F.filter("tokens", lambda t: t.isin([names[i] for (i,) in live])))
+            sets = baskets.select(items.alias("items"), "verdict").where(F.size("items") > 1)
+            sets = materialize(sets.groupBy("items", "verdict").agg(F.count(F.lit(1)).alias("n")), "sets")
+        grown = sets.mapInPandas(_grow(set(live), code), "items array<int>, verdict string, n long")
+        before, level = live, [(tuple(own), n, of) for own, n, of in frequent(grown, "items")]
+    return sorted(rules, key=lambda r: (-r["confidence"], -r["support"], len(r["antecedent"]), r["antecedent"], r["verdict"]))
 
 
 class Matcher:

@@ -300,6 +300,35 @@ def test_url_filter(spark):
     assert url_filter.judge(pages.limit(0)).count() == 0
 
 
+def test_mined_rules_of_hot_patterns(spark):
+    """Two patterns of 14 tokens, a third of all rows each, don't cost an unrelated host its rule: no cap, no doubled support."""
+    rows = [([f"{x}{k}" for k in range(14)], v) for x, v in (("a", "block"), ("b", "allow")) for _ in range(300)] + [([f"a{k}" for k in range(14)], None)] * 30
+    rows += [(["d:rare", "p1:x"], "block")] * 6 + [(["d:rare"], None)] * 30 + [(["p1:x"], None)] * 30 + [(["d:other"], None)] * 200
+    got = url_filter.mine(spark.createDataFrame(rows, "tokens array<string>, verdict string"))
+    assert {"antecedent": ["d:rare", "p1:x"], "verdict": "block", "confidence": 1.0, "support": 6 / len(rows)} in got
+    assert len(got) == 14 + 14 + 1
+
+
+def test_mined_rules_equal_brute_force(spark):
+    from itertools import combinations
+
+    rng = random.Random(4)
+    rows = [(sorted(rng.sample("abcdefg", rng.randint(0, 5))), rng.choice(["block", "allow", None])) for _ in range(150)]
+    rows = [(t + ["z"] if "a" in t else t, "block" if {"a", "b"} <= set(t) and rng.random() < 0.9 else v) for t, v in rows]
+    total, kept = sum(bool(t) or v is not None for t, v in rows), []
+    for size in range(1, 9):
+        level = []
+        for own in map(list, combinations("abcdefgz", size)):
+            hit = [v for t, v in rows if set(own) <= set(t)]
+            for v in ("allow", "block"):
+                n = hit.count(v)
+                if n >= 0.02 * total and n / len(hit) >= 0.5 and not any(w == v and c >= n / len(hit) and set(k) < set(own) for k, w, c, _ in kept):
+                    level.append((own, v, n / len(hit), n / total))
+        kept += level
+    got = url_filter.mine(spark.createDataFrame(rows, "tokens array<string>, verdict string"), support=0.02, confidence=0.5)
+    assert sorted((r["antecedent"], r["verdict"], r["confidence"], r["support"]) for r in got) == sorted(kept) and len(kept) > 5
+
+
 def test_matcher_equals_all_rules():
     rng = random.Random(1)
     rules = [{"antecedent": rng.sample("abcdefgh", rng.randint(1, 3)), "verdict": rng.choice(["block", "allow"]), "confidence": 0.9, "support": 0.1} for _ in range(40)]
