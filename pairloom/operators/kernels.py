@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 
@@ -123,3 +125,52 @@ def farthest_first(rows: pd.DataFrame, budget: int) -> pd.DataFrame:
         near[picks] = -1.0
     out = cand.iloc[picks].assign(score=np.arange(len(picks), dtype=float))
     return out[["target", "donor", "pair_idx", "score", "v", "own_n"]]
+
+
+def _nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    near = np.full(len(x), np.inf)
+    for i in range(0, len(c), 8192):
+        near = np.minimum(near, (1 - x @ c[i : i + 8192].T).min(axis=1))
+    return near
+
+
+def farthest(centers: dict[int, np.ndarray], picked: dict[int, set], keep: int):
+    """A mapInPandas function over domain, pair_idx, v: each target's `keep` rows of other domains that are farthest from its centers and not picked."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        best: dict[int, pd.DataFrame] = {}
+        for rows in batches:
+            if not len(rows):
+                continue
+            x = np.stack(rows["v"].to_numpy()).astype(float)
+            for t, c in centers.items():
+                other = (rows["domain"] != t).to_numpy()
+                if picked[t]:
+                    other &= np.array([key not in picked[t] for key in zip(rows["domain"], rows["pair_idx"], strict=True)])
+                own = rows[other]
+                near = _nearest(x[other], c)
+                own = pd.DataFrame({"target": t, "donor": own["domain"], "pair_idx": own["pair_idx"], "far": np.round(near, 9), "near": near, "v": own["v"]})
+                both = pd.concat([best[t], own]) if t in best else own
+                best[t] = both.sort_values(["far", "donor", "pair_idx"], ascending=[False, True, True]).head(keep)
+        yield from (b for b in best.values() if len(b))
+
+    return run
+
+
+def picks_before(rows: pd.DataFrame, pool: int, most: int) -> list[int]:
+    """Places of the farthest-first picks among the first `pool` rows, as long as they come before the row after these, if there is one."""
+    key = lambda i, far: (-far, rows["donor"].iloc[i], rows["pair_idx"].iloc[i])
+    bound = key(pool, rows["far"].iloc[pool]) if len(rows) > pool else None
+    x, near = np.stack(rows["v"].iloc[:pool].to_numpy()).astype(float), rows["near"].to_numpy()[:pool].copy()
+    places = np.lexsort((rows["pair_idx"].to_numpy()[:pool], rows["donor"].to_numpy()[:pool]))
+    x, near = x[places], near[places]
+    picks: list[int] = []
+    while len(picks) < min(most, len(x)):
+        far = np.round(near, 9)
+        far[picks] = -2.0
+        i = int(far.argmax())
+        if bound is not None and key(int(places[i]), far[i]) > bound:
+            break
+        picks.append(i)
+        near = np.minimum(near, 1 - x @ x[i])
+    return [int(places[i]) for i in picks]

@@ -7,6 +7,7 @@ Rows: target, out_pos (0 to budget-1), donor, pair_idx.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,8 +18,10 @@ from pairloom.operators.pairs import centroids, mean_vector, small
 SEED = 22
 #: Ranks are rounded so that the last bit of a sum can't reorder rows.
 DIGITS = 9
-#: Candidates of one target that a greedy task holds; more are reduced in blocks first.
+#: Candidates of one target that a greedy task holds; more are picked from in rounds.
 GREEDY = 200_000
+#: Candidates of one target that a round brings to the driver.
+POOL = 2000
 
 
 def draw(seed: int, *cols: str) -> Column:
@@ -143,20 +146,49 @@ def mmd(train: DataFrame, goal_pairs: DataFrame, budget: int, seed: int = SEED)
     return _by_kernel(train, goal_pairs, budget, seed, kernels.mmd_gain)
 
 
-def k_center(train: DataFrame, budget: int, seed: int = SEED, most: int = GREEDY) -> DataFrame:
-    """Farthest-first donors from the target's unit pairs. A target with more than `most` candidates first takes the
-    farthest-first picks of hashed blocks, and then picks among those: the same rule on a core-set."""
+def _in_rounds(train: DataFrame, need: DataFrame, budget: int, pool: int) -> DataFrame:
+    """Farthest-first picks where candidates don't fit one task: target, donor, pair_idx, score. A round scans all
+    candidates where they are and brings each target's `pool` farthest and the one after these. A distance to the
+    nearest centre only falls with further picks, so picks among the pool are those among all candidates while they come
+    before that one; the next round goes on from there. The driver and the tasks hold the targets' centers and picks."""
+    spark = train.sparkSession
+    train = train.select("domain", "pair_idx", "v").persist()
+    left = {r["target"]: budget - r["n"] for r in need.collect()}
+    own = train.join(small(need.select(F.col("target").alias("domain"))), "domain", "left_semi").toPandas()
+    centers = {t: np.stack(g["v"].to_numpy()).astype(float) for t, g in own.groupby("domain")}
+    picked: dict[int, list[tuple[int, int]]] = {t: [] for t in left}
+    order = Window.partitionBy("target").orderBy(F.desc("far"), "donor", "pair_idx")
+    schema = "target int, donor int, pair_idx long, far double, near double, v array<double>"
+    while left:
+        scan = kernels.farthest({t: centers[t] for t in left}, {t: set(picked[t]) for t in left}, pool + 1)
+        top = train.mapInPandas(scan, schema).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= pool + 1).toPandas()
+        found = {t: g.sort_values("rank") for t, g in top.groupby("target")}
+        for t in list(left):
+            rows = found.get(t)
+            if rows is None:
+                del left[t]  # all candidates are picked
+                continue
+            picks = kernels.picks_before(rows, pool, left[t])
+            chosen = rows.iloc[picks]
+            picked[t] += zip(chosen["donor"].tolist(), chosen["pair_idx"].tolist(), strict=True)
+            centers[t] = np.concatenate([centers[t], np.stack(chosen["v"].to_numpy()).astype(float)])
+            left[t] -= len(picks)
+            if not left[t]:
+                del left[t]
+    train.unpersist()
+    rows = [(t, d, i, float(k)) for t, own_picks in picked.items() for k, (d, i) in enumerate(own_picks)]
+    return spark.createDataFrame(rows, "target int, donor int, pair_idx long, score double")
+
+
+def k_center(train: DataFrame, budget: int, seed: int = SEED, most: int = GREEDY, pool: int = POOL) -> DataFrame:
+    """Farthest-first donors from the target's unit pairs. Above `most` candidates the same picks are made in rounds."""
     own, need = own_rows(train, budget, seed)
+    if train.count() > most:
+        return fill(own, need, _in_rounds(train, need, budget, pool), budget)
     targets = need.select("target", F.col("n").alias("own_n"))
-    blocks = max(1, -(-train.count() // most))
     centers = train.select(F.col("domain").alias("target"), F.lit(-1).alias("donor"), "pair_idx", "v").join(small(targets), "target")
     cands = _against(targets, train).select("target", F.col("domain").alias("donor"), "pair_idx", "v", "own_n")
     pick = lambda rows: kernels.farthest_first(rows, budget)
     schema = "target int, donor int, pair_idx long, score double, v array<double>, own_n long"
-    if blocks > 1:
-        hashed = F.pmod(F.xxhash64("donor", "pair_idx"), F.lit(blocks))
-        everywhere = centers.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-        part = cands.withColumn("block", hashed.cast("int")).unionByName(everywhere.select(*cands.columns, "block"))
-        cands = part.groupBy("target", "block").applyInPandas(pick, schema).drop("score")
     scored = cands.unionByName(centers.select(*cands.columns)).groupBy("target").applyInPandas(pick, schema).drop("v", "own_n")
     return fill(own, need, scored, budget)

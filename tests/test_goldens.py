@@ -149,6 +149,16 @@ def test_k_center(spark):
     assert selection.k_center(train(spark, rows), 4, most=2).where("target = 0").count() == 4
 
 
+def test_k_center_in_rounds(spark):
+    """Above `most` candidates the picks are those among all of them, whatever the pool; ties go by key."""
+    rng = np.random.default_rng(3)
+    rows = [(d, i, v / np.linalg.norm(v)) for d in range(3) for i in range(40 if d else 3) for v in [rng.normal(size=3)]]
+    table = train(spark, rows + [(1, 100 + i, rows[3 + i][2]) for i in range(5)]).repartition(5)
+    shown = lambda df: sorted(map(tuple, df.collect()))
+    for budget, pool in ((8, 1), (8, 500), (60, 7)):
+        assert shown(selection.k_center(table, budget, most=20, pool=pool)) == shown(selection.k_center(table, budget))
+
+
 def test_oversample(spark):
     rows = spark.createDataFrame([("t", 0, "a"), ("t", 1, "b"), ("t", 2, "c")], "target string, pos long, x string")
     got = [r["x"] for r in selection.oversample(rows, 8).orderBy("out_pos").collect()]
