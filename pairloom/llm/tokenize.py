@@ -4,7 +4,7 @@ A text is cut where a byte-level BPE with the usual word pattern never joins: be
 end between two characters that are not white space. Each different piece is encoded once by the library (a word of
 Latin letters and the punctuation after it apart, which such a BPE never joins either); a text's ids are its pieces' ids
 in a row. A text with longer runs of white space is cut before each run; one with white space beyond ASCII next to a cut
-is encoded whole.
+is encoded whole, and so is one that contains an added token such as <|endoftext|>, which the library finds before words.
 """
 
 from __future__ import annotations
@@ -63,12 +63,13 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         spec = json.loads(self.tokenizer.to_str())
         pre = spec.get("pre_tokenizer") or {}
         self.by_piece = (
             not spec.get("normalizer") and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
         )
+        added = [re.escape(t["content"]) for t in spec.get("added_tokens") or () if t["content"]]
+        self.has_added = re.compile("|".join(added)).search if added else lambda text: None
         self.letters = _byte_letters()
         self.limit = memo
         self.inner, self.first = _Words(self._piece, " "), _Words(self._piece, "")
@@ -130,6 +131,9 @@ class Encoder:
             return self._whole(texts)
         out = []
         for text in texts:
+            if self.has_added(text):
+                out += self._whole([text])
+                continue
             own = self._by_words(text)
             out.append(self._by_runs(text) if own is None else own)
             if len(self.inner) + len(self.first) + len(self.memo) > self.limit:

@@ -149,6 +149,16 @@ def test_pieces_equal_the_library():
     assert small.encode(texts) == whole
 
 
+def test_added_tokens_equal_a_fresh_tokenizer():
+    from tokenizers import Tokenizer
+
+    fresh = Tokenizer.from_file(tokenize.default_tokenizer())
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>\n\ny  z", "a <|endof text|> b", "<|endoftext", "plain words. here"]
+    enc = tokenize.Encoder(tokenize.default_tokenizer())
+    assert [np.frombuffer(x, "<u4").tolist() for x in enc.encode(texts)] == [fresh.encode(t, add_special_tokens=False).ids for t in texts]
+    assert np.frombuffer(enc.encode(texts[:1])[0], "<u4").tolist() == [64, 220, 50256, 275]
+
+
 @pytest.mark.parametrize("n", [0, 1, 5, 64, 65, 1000])
 def test_codec_round_trip(n):
     rng = np.random.default_rng(n)
