@@ -1,8 +1,8 @@
 """URL filtering: given rules first, then association rules mined from the URLs.
 
 A given rule (host, path) fits its host and all subdomains if the URL's path starts with the rule's; the longest wins.
-The URLs that a rule decides are labelled examples. Every URL becomes a set of tokens (top-level name, domain, host
-labels, first path segments, extension). The rules are those "tokens -> label" of at least SUPPORT (of all rows) and CONFIDENCE
+The URLs that a rule decides are labelled examples. Every URL becomes a set of tokens (top-level name, domain, all host
+labels, all path segments, keys of the query, extension). The rules are those "tokens -> label" of at least SUPPORT (of all rows) and CONFIDENCE
 (URLs without a label count against a rule) that no shorter rule with at least the same confidence and label makes idle.
 They are mined level by level, without a cap: a set of tokens grows only while all its parts are live, i.e. some label has
 it often enough, no part has the same rows, and its rows don't all have one label. What is not live can only give idle
@@ -37,7 +37,7 @@ CONFIDENCE = 0.8
 HELD = 100_000
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
+_PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)(?:\?([^#]*))?"
 
 
 def host_of(url: str = "url") -> Column:
@@ -48,6 +48,10 @@ def path_of(url: str = "url") -> Column:
     return F.coalesce(F.regexp_extract(url, _PARTS, 2), F.lit(""))
 
 
+def query_of(url: str = "url") -> Column:
+    return F.coalesce(F.regexp_extract(url, _PARTS, 3), F.lit(""))
+
+
 def rule_of(rules=RULES, host: str = "host", path: str = "path") -> tuple[Column, Column]:
     """The fitting rule as a string, and its verdict; null where none fits. For a list of rules that fits in an expression."""
     name, verdict = F.lit(None).cast("string"), F.lit(None).cast("string")
@@ -57,19 +61,22 @@ def rule_of(rules=RULES, host: str = "host", path: str = "path") -> tuple[Column
     return name, verdict
 
 
-def tokens_of(host: str = "host", path: str = "path") -> Column:
-    """At most 12 tokens: t: top-level name, d: domain, h: the first 6 host labels before it, p1: to p3: path segments (numbers as #), x: extension."""
+def tokens_of(host: str = "host", path: str = "path", query: str = "query") -> Column:
+    """t: top-level name, d: domain, h: the host labels before it, p1:, p2: and so on path segments and q: keys of the query (numbers as #), x: extension."""
     labels = F.filter(F.split(host, r"\."), lambda x: x != "")
     n = F.size(labels)
+    numberless = lambda x: F.regexp_replace(x, r"[0-9]+", "#")
     segments = F.filter(F.split(path, "/"), lambda x: x != "")
-    shown = F.transform(F.slice(segments, 1, 3), lambda x, i: F.concat(F.lit("p"), (i + 1).cast("string"), F.lit(":"), F.regexp_replace(x, r"[0-9]+", "#")))
+    shown = F.transform(segments, lambda x, i: F.concat(F.lit("p"), (i + 1).cast("string"), F.lit(":"), numberless(x)))
+    keys = F.filter(F.transform(F.split(query, "[&;]"), lambda x: F.substring_index(x, "=", 1)), lambda x: x != "")
     extension = F.regexp_extract(path, r"\.([A-Za-z0-9]{1,8})$", 1)
     return F.array_distinct(
         F.concat(
             F.when(n >= 1, F.array(F.concat(F.lit("t:"), F.element_at(labels, -1)))).otherwise(F.array()),
             F.when(n >= 2, F.array(F.concat(F.lit("d:"), F.array_join(F.slice(labels, -2, 2), ".")))).otherwise(F.array()),
-            F.when(n >= 3, F.transform(F.slice(labels, 1, F.least(n - 2, F.lit(6))), lambda x: F.concat(F.lit("h:"), x))).otherwise(F.array()),
+            F.when(n >= 3, F.transform(F.slice(labels, 1, n - 2), lambda x: F.concat(F.lit("h:"), x))).otherwise(F.array()),
             shown,
+            F.transform(keys, lambda x: F.concat(F.lit("q:"), numberless(x))),
             F.when(extension != "", F.array(F.concat(F.lit("x:"), extension))).otherwise(F.array()),
         )
     )
@@ -186,7 +193,7 @@ def judge(pages: DataFrame, rules=RULES, **how) -> DataFrame:
     """page_id, host, path, rule, verdict, confidence (of the mined rule that decided, else null) of each row of pages."""
     ship(pages.sparkSession)
     name, verdict = rule_of(rules)
-    parts = pages.select("page_id", host_of().alias("host"), path_of().alias("path"))
+    parts = pages.select("page_id", host_of().alias("host"), path_of().alias("path"), query_of().alias("query"))
     ruled = parts.select("page_id", "host", "path", name.alias("rule"), verdict.alias("verdict"), tokens_of().alias("tokens"))
     matcher = Matcher(mine(ruled.select("tokens", "verdict"), **how))
 

@@ -310,6 +310,23 @@ def test_url_filter(spark):
     assert url_filter.judge(pages.limit(0)).count() == 0
 
 
+def test_tokens_of_the_whole_url(spark):
+    urls = ["http://a.b.c.d.e.f.g.h.org/p/q/r/s7/t.html?id=1&page2=x;id=3&&=v&flag#z?no=1", "http://x.de/a#b://c?d=1", None, "none?x=1"]
+    rows = spark.createDataFrame([(u,) for u in urls], "url string").select(url_filter.host_of().alias("host"), url_filter.path_of().alias("path"), url_filter.query_of().alias("query"))
+    got = [r[0] for r in rows.select(url_filter.tokens_of()).collect()]
+    assert got[0] == ["t:org", "d:h.org", *(f"h:{x}" for x in "abcdefg"), "p1:p", "p2:q", "p3:r", "p4:s#", "p5:t.html", "q:id", "q:page#", "q:flag", "x:html"]
+    assert got[1:] == [["t:de", "d:x.de", "p1:a"], [], []]
+
+
+def test_rules_of_deep_segments_and_keys(spark):
+    """What tells blocked URLs lies in the fourth segment, a deep host label or the query."""
+    urls = [f"http://bad.example.net/a/b/c/spam?ad={k}" for k in range(40)] + [f"http://good.example.com/a/b/c/fine?id={k}" for k in range(40)]
+    urls += ["http://other.org/a/b/c/spam", "http://other.org/?ad=1", "http://other.org/a/b/c/fine", "http://1.2.3.4.5.6.bad.other.org/"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r["page_id"]: r["verdict"] for r in url_filter.judge(pages).collect()}
+    assert [got[k] for k in range(80, 84)] == ["block", "block", "allow", "block"]
+
+
 def test_mined_rules_of_hot_patterns(spark):
     """Two patterns of 14 tokens, a third of all rows each, don't cost an unrelated host its rule: no cap, no doubled support."""
     rows = [([f"{x}{k}" for k in range(14)], v) for x, v in (("a", "block"), ("b", "allow")) for _ in range(300)] + [([f"a{k}" for k in range(14)], None)] * 30
