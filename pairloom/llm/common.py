@@ -17,9 +17,14 @@ from pyspark.sql import functions as F
 SPACE = r"[\x20\x09-\x0D]"
 #: A side of a join is broadcast only if its measured rows need no more than this.
 BROADCAST_BYTES = 8 << 20
+#: Bytes of a batch of rows on its way to a Python worker; a longer row is a batch of its own.
+BATCH_BYTES = 4 << 20
+
+_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 _own: dict[str, str] = {}
 _shipped: set[str] = set()
+_leaves: set[str] = set()
 
 
 def shared_base(spark: SparkSession) -> str:
@@ -38,8 +43,15 @@ def shared_base(spark: SparkSession) -> str:
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_base(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+    """A new path in the application's own part of the shared folder, which goes when the application ends."""
+    own = f"{shared_base(spark)}/{spark.sparkContext.applicationId}"
+    if own not in _leaves:
+        _leaves.add(own)
+        path = spark._jvm.org.apache.hadoop.fs.Path(own)
+        files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+    return f"{own}/{name}-{uuid.uuid4().hex[:12]}"
 
 
 def materialize(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
@@ -63,7 +75,9 @@ def bounded_broadcast(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTE
 
 
 def ship(spark: SparkSession) -> None:
-    """Lets Python workers import this package where PYTHONPATH doesn't have it already."""
+    """Prepares the session for Python workers: batches are bounded in bytes, as texts have any length, and this package can be imported where PYTHONPATH doesn't have it already."""
+    if spark.conf.get(_BATCH_SETTING) == "67108864b":  # Spark's default: nobody chose another bound
+        spark.conf.set(_BATCH_SETTING, str(BATCH_BYTES))
     root = Path(__file__).resolve().parents[2]
     app = spark.sparkContext.applicationId
     if app in _shipped or str(root) in os.environ.get("PYTHONPATH", "").split(":"):
@@ -84,6 +98,23 @@ def slices(batches, rows: int = 1000):
             yield b.slice(at, rows)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name like `name` that df doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def one_row_each(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Of the rows of df with equal keys that with the longest text, then the smallest, then by a hash of all columns; summed up before the shuffle."""
+    plain = [c for c, kind in df.dtypes if "map<" not in kind and kind != "variant"]
+    order = F.struct(-F.length(text_or_empty()), text_or_empty(), F.xxhash64(*plain))
+    best = df.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.struct(*df.columns).alias("_row"), order.alias("_order"))
+    found = best.groupBy(*[f"_k{i}" for i in range(len(keys))]).agg(F.min_by("_row", "_order").alias("_row"))
+    return found.select("_row.*")
+
+
 def text_or_empty(col: str = "text") -> Column:
     return F.coalesce(F.col(col), F.lit(""))
 

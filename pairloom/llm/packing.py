@@ -8,7 +8,8 @@ left; its last windows are filled one after the other and the final remainder be
 of two, which need no padding. No document is moved between tasks but those leftovers, at most `windows` a partition.
 
 Defined results: null and empty texts are the end id alone. Rows that repeat a doc_id are packed each. An empty table
-gives an empty result. Only doc_id and text are read. Window numbers depend on how the rows are partitioned.
+gives an empty result. Very long texts become as many windows as they need, in time and memory that grow with their
+length only. Only doc_id and text are read. Window numbers depend on how the rows are partitioned.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ WINDOWS = 16
 END_ID = 1
 #: Partitions (or groups of them) whose leftovers one task merges.
 MERGE = 64
+#: Tokens of closed windows that a task holds before it hands them on.
+HELD = 1 << 20
 
 _PIECE = "start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, open boolean, part long"
 
@@ -39,19 +42,22 @@ class Packer:
         self.windows, self.size, self.next = windows, size, first
         self.open: list[list] = []  # [tokens in it, its pieces]
         self.out: list[tuple] = []
+        self.held = 0  # tokens in out
 
     def _emit(self, pieces: list[tuple], is_open: bool = False) -> None:
         at = 0
         for doc, start, ids, doc_tokens in pieces:
             self.out.append((doc, start, ids, doc_tokens, self.next, at, is_open))
             at += len(ids) // 4
+        self.held += at
         self.next += 1
 
     def add(self, doc, start: int, ids: bytes, doc_tokens: int) -> None:
-        size = self.size
-        while (n := len(ids) // 4) >= size:
-            self._emit([(doc, start, ids[: 4 * size], doc_tokens)])
-            start, ids = start + size, ids[4 * size :]
+        """A piece; ids as bytes. Whole windows are cut from it in one walk, however long it is."""
+        size, whole = self.size, len(ids) // (4 * self.size)
+        for k in range(whole):
+            self._emit([(doc, start + k * size, ids[4 * k * size : 4 * (k + 1) * size], doc_tokens)])
+        start, ids = start + whole * size, ids[4 * whole * size :]
         while ids:
             n = len(ids) // 4
             best = max((w for w in self.open if w[0] + n <= size), key=lambda w: w[0], default=None)
@@ -94,7 +100,7 @@ class Packer:
             self._emit(window)
 
     def take(self, id_type: pa.DataType, part: int) -> pa.RecordBatch:
-        rows, self.out = self.out, []
+        rows, self.out, self.held = self.out, [], 0
         cols = list(zip(*rows, strict=True)) if rows else [()] * 7
         return pa.RecordBatch.from_arrays(
             [
@@ -121,6 +127,8 @@ def _pack_texts(batches: Iterator[pa.RecordBatch], path: str, end_id: int, size:
         kind = b.schema.field("doc_id").type
         for doc, ids in zip(b.column("doc_id").to_pylist(), enc.encode(b.column("text").to_pylist()), strict=True):
             packer.add(doc, 0, ids + end, len(ids) // 4 + 1)
+            if packer.held >= HELD:
+                yield packer.take(kind, part)
         yield packer.take(kind, part)
     packer.leave_open()
     yield packer.take(kind, part)

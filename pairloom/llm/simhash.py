@@ -7,7 +7,8 @@ the key of an index, 8 keys a fingerprint. Pairs with a key in common are checke
 Hamming distance. What a key's fingerprints link is returned as a spanning forest, never as all pairs; keys with very
 many fingerprints are split into pairs of blocks, so that no task has an unbounded group.
 
-Defined results: null text is empty; texts without words have fingerprint 0. Rows that repeat a doc_id each get a row.
+Defined results: null text is empty; texts without words have fingerprint 0. A bit that exactly half of the shingles have
+is 0. Very long texts are counted in pieces, whole. Rows that repeat a doc_id each get a row.
 component_id is null only if all of a component's ids are null. An empty table gives an empty result.
 """
 
@@ -22,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairloom.llm.common import bounded_broadcast, documents, materialize, ship, slices
+from pairloom.llm.common import bounded_broadcast, documents, materialize, one_row_each, ship, slices, unused
 from pairloom.llm.components import connected_components
 
 SHINGLE = 3
@@ -30,7 +31,9 @@ SEED = 42
 DISTANCE = 3
 #: Fingerprints of one key that a task compares at once; beyond it a key is split into blocks of half this size.
 GROUP = 4096
-_BITS = 1 << 17
+#: Shingles whose bits are counted at once; texts of more bytes than TEXT are counted piece by piece.
+_BITS = 1 << 14
+TEXT = 1 << 20
 
 
 def _bit_counts(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -76,7 +79,7 @@ def fingerprint_batch(texts: list[bytes], shingle: int = SHINGLE) -> np.ndarray:
     for row, text in enumerate(texts):
         if not text:
             continue
-        if len(text) > 1 << 20:
+        if len(text) > TEXT:
             out[row] = fingerprint_of(text, shingle)
             continue
         words = text.lower().split()
@@ -100,15 +103,15 @@ def _fingerprint_arrow(batches: Iterator[pa.RecordBatch], shingle: int) -> Itera
     for b in slices(batches):
         texts = b.column("text").to_pylist()
         prints = fingerprint_batch(texts, shingle).astype("int64", casting="unsafe")
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(prints, pa.int64())], names=["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_hash"), pa.array(prints, pa.int64())], names=["doc_id", "text_hash", "fp"])
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, fp (the 64 bits as a signed long), a row per row of docs."""
+    """doc_id, text_hash, fp (the 64 bits as a signed long), a row per row of docs."""
     ship(docs.sparkSession)
-    rows = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
+    rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.col("text").cast("binary").alias("text"))
     kind = dict(rows.dtypes)["doc_id"]
-    return rows.mapInArrow(lambda it: _fingerprint_arrow(it, shingle), f"doc_id {kind}, fp long")
+    return rows.mapInArrow(lambda it: _fingerprint_arrow(it, shingle), f"doc_id {kind}, text_hash long, fp long")
 
 
 def ring_keys(fps: DataFrame) -> DataFrame:
@@ -214,7 +217,7 @@ def links(fps: DataFrame, group: int = GROUP) -> DataFrame:
 
 
 def components(docs: DataFrame, shingle: int = SHINGLE, group: int = GROUP) -> DataFrame:
-    """doc_id, fp, component_id for each row of docs."""
+    """doc_id, text_hash, fp, component_id for each row of docs."""
     prints = materialize(fingerprints(docs, shingle), "fingerprints")
     distinct = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "fps")
     labels = connected_components(links(distinct.select("fp"), group))
@@ -222,19 +225,29 @@ def components(docs: DataFrame, shingle: int = SHINGLE, group: int = GROUP) -> D
     named = materialize(named, "fp_labels")
     least = named.groupBy("label").agg(F.min("least_id").alias("component_id"))
     table = materialize(named.join(least, "label").select("fp", "component_id"), "fp_components")
-    return prints.join(table, "fp").select("doc_id", "fp", "component_id")
+    return prints.join(table, "fp").select("doc_id", "text_hash", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, **how) -> DataFrame:
-    """The rows of docs without those whose component has a smaller doc_id; of a repeated doc_id one row stays. Rows without an id stay."""
-    found = components(docs, **how)
-    gone = materialize(found.where("doc_id <> component_id").select(F.col("doc_id").alias("_id")).distinct(), "near_copies")
-    rest = docs.join(bounded_broadcast(gone, 16), F.col("doc_id") == F.col("_id"), "left_anti")
-    twice = materialize(found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_id")), "near_same")
-    if twice.isEmpty():
-        return rest
-    again = F.col("doc_id") == F.col("_id")
-    return rest.join(twice, again, "left_anti").unionByName(rest.join(twice, again, "left_semi").dropDuplicates(["doc_id"]))
+    """The rows of docs without those whose component has a smaller doc_id. Of several rows with a component's smallest doc_id
+    that with the longest text stays, then the smallest text. Rows without an id stay."""
+    found = materialize(components(docs, **how), "near_components")
+    hashed, names = unused(docs, "_hash"), {}
+    keyed = docs.withColumn(hashed, F.xxhash64("text"))
+    names = {c: unused(keyed, f"_{c}") for c in ("doc_id", "text_hash")}
+
+    def marked(rows: DataFrame, name: str) -> DataFrame:
+        return materialize(rows.select(*[F.col(c).alias(n) for c, n in names.items()]).distinct(), name)
+
+    same = (F.col("doc_id") == F.col(names["doc_id"])) & (F.col(hashed) == F.col(names["text_hash"]))
+    gone = marked(found.where("doc_id <> component_id"), "near_copies")
+    rest = keyed.join(bounded_broadcast(gone, 24), same, "left_anti")
+    first = found.where("doc_id = component_id")
+    twice = first.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_id"))
+    twice = marked(first.join(twice, F.col("doc_id") == F.col("_id"), "left_semi"), "near_same")
+    if not twice.isEmpty():
+        rest = rest.join(twice, same, "left_anti").unionByName(one_row_each(rest.join(twice, same, "left_semi"), ["doc_id"]))
+    return rest.drop(hashed)
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,6 +5,8 @@ end between two characters that are not white space. Each different piece is enc
 Latin letters and the punctuation after it apart, which such a BPE never joins either); a text's ids are its pieces' ids
 in a row. A text with longer runs of white space is cut before each run; one with white space beyond ASCII next to a cut
 is encoded whole, and so is one that contains an added token such as <|endoftext|>, which the library finds before words.
+Very long texts are first cut at such a space into parts of about PART characters, which bounds the lists of words. The
+memo is bounded in bytes, whatever the words are.
 """
 
 from __future__ import annotations
@@ -12,9 +14,17 @@ from __future__ import annotations
 import os
 import re
 from array import array
-
-#: Pieces that a generation of the memo holds; about 220 bytes each, and there are two generations.
-MEMO = 450_000
+from collections.abc import Iterator
+from sys import getsizeof
+
+#: Bytes that the memo of one process holds, in two generations.
+MEMO = 96 << 20
+#: Characters of a long text that are worked on at once.
+PART = 1 << 20
+#: Marks, by hash, of words that came once; only what comes again is kept, as most different words come once.
+_SEEN = 1 << 21
+#: What an entry takes in a dict of changing size.
+_SLOT = 110
 
 _WS = r"[ \t-\r]"
 _LATIN = "A-Za-zÀ-ÖØ-öø-ɏ"
@@ -33,24 +43,29 @@ def _byte_letters() -> dict[int, int]:
 class _Words(dict):
     """Ids of pieces that all stand after `lead`; what is missing is encoded and kept. None: a piece that is no safe cut.
 
-    There are two generations: when this one is full it becomes the one before, from which what is asked for moves on.
+    `before` is the generation before this one, from which what is asked for moves on; `held` counts bytes.
     """
 
-    def __init__(self, encode, lead: str):
+    def __init__(self, encode, lead: str, before: dict):
         super().__init__()
-        self.encode, self.lead, self.before = encode, lead, {}
+        self.encode, self.lead, self.before, self.held, self.seen = encode, lead, before, 0, bytearray(_SEEN)
 
     def __missing__(self, word: str) -> bytes | None:
         if word in self.before:
             own = self.before[word]
         else:
             own = None if not word or word[0].isspace() or word[-1].isspace() else self.encode(self.lead + word)
+            place = hash(word) & _SEEN - 1
+            if not self.seen[place]:
+                self.seen[place] = 1
+                return own
         self[word] = own
+        self.held += _SLOT + getsizeof(word) + getsizeof(own)
         return own
 
-    def turn(self) -> None:
-        self.before = dict(self)
-        self.clear()
+    def next(self) -> _Words:
+        self.before, self.seen = {}, bytearray()
+        return _Words(self.encode, self.lead, self)
 
 
 class Encoder:
@@ -72,8 +87,8 @@ class Encoder:
         self.has_added = re.compile("|".join(added)).search if added else lambda text: None
         self.letters = _byte_letters()
         self.limit = memo
-        self.inner, self.first = _Words(self._piece, " "), _Words(self._piece, "")
-        self.memo: dict[str, bytes] = {}  # of punctuation and of pieces with their white space
+        self.inner, self.first = _Words(self._piece, " ", {}), _Words(self._piece, "", {})
+        self.memo = _Words(lambda piece: self._whole([piece])[0], "", {})  # of punctuation and of pieces with their white space
         self.newline = self._whole(["\n"])[0]
 
     def _whole(self, texts: list[str]) -> list[bytes]:
@@ -90,10 +105,13 @@ class Encoder:
         return own + self._tail(m[2]) if m[2] else own
 
     def _tail(self, marks: str) -> bytes:
-        if marks not in self.memo:
-            self.memo[marks] = self._whole([marks])[0]
         return self.memo[marks]
 
+    def _turn(self) -> None:
+        """Forgets the generation before if this one has its half of the memo."""
+        if 2 * (self.inner.held + self.first.held + self.memo.held) > self.limit:
+            self.inner, self.first, self.memo = self.inner.next(), self.first.next(), self.memo.next()
+
     def _by_words(self, text: str) -> bytes | None:
         """None: the text has white space that this doesn't cut."""
         if "\n\n" in text or "  " in text:
@@ -123,9 +141,25 @@ class Encoder:
             return self._whole([text])[0]
         pieces = _pieces(text)
         missing = [w for w in dict.fromkeys(pieces) if w not in self.memo]
-        self.memo.update(zip(missing, self._whole(missing), strict=True))
+        for w, own in zip(missing, self._whole(missing), strict=True):
+            self.memo[w] = own
+            self.memo.held += _SLOT + getsizeof(w) + getsizeof(own)
         return b"".join(map(self.memo.__getitem__, pieces))
 
+    @staticmethod
+    def _parts(text: str) -> Iterator[str]:
+        """The text, cut before single spaces between characters that are not white space."""
+        at = 0
+        while len(text) - at > PART:
+            cut = text.find(" ", at + PART)
+            while cut > 0 and (cut + 1 == len(text) or text[cut - 1].isspace() or text[cut + 1].isspace()):
+                cut = text.find(" ", cut + 1)
+            if cut < 0:
+                break
+            yield text[at:cut]
+            at = cut
+        yield text[at:] if at else text
+
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.by_piece:
             return self._whole(texts)
@@ -134,10 +168,12 @@ class Encoder:
             if self.has_added(text):
                 out += self._whole([text])
                 continue
-            own = self._by_words(text)
-            out.append(self._by_runs(text) if own is None else own)
-            if len(self.inner) + len(self.first) + len(self.memo) > self.limit:
-                self.inner.turn(), self.first.turn(), self.memo.clear()
+            parts = []
+            for part in self._parts(text):
+                own = self._by_words(part)
+                parts.append(self._by_runs(part) if own is None else own)
+                self._turn()
+            out.append(b"".join(parts) if len(parts) > 1 else parts[0])
         return out
 
 

@@ -61,6 +61,34 @@ def test_exact_dedup_index_persists(spark, tmp_path):
     assert again == got
 
 
+def test_exact_dedup_index_is_written_anew(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "FILES", 2)
+    path = f"file://{tmp_path}/index"
+    for k in range(5):
+        rows = docs(spark, [(10 * k + j, f"text {k} {j}", "s") for j in range(9)] + [(900 + k, "text 0 0", "s")])
+        got = {r["doc_id"]: r["keep_id"] for r in exact_dedup.deduplicate(rows, exact_dedup.new_index(rows, path, 2)).collect()}
+        assert got == {10 * k + j: 10 * k + j for j in range(9)} | {900 + k: 0}
+    index = exact_dedup.new_index(rows, path)
+    assert index.generation >= 1 and index.buckets == 2 and len(index.read().inputFiles()) <= 4
+    assert index.read().count() == 45 == index.read().select("digest").distinct().count()
+    index.close()
+    assert not [t.name for t in spark.catalog.listTables() if t.name == index.table]
+
+
+def test_kept_rows_by_rule(spark):
+    """Rows that repeat a doc_id: the longest text stays, then the smallest; columns that operators use inside are no trouble."""
+    rows = [(1, "a b", "z"), (1, "ab", "z"), (1, "a   b", "z"), (1, "a \t b", "z"), (2, "ab", "z"), (None, "n  n", "z"), (None, "nn", "z")]
+    named = docs(spark, rows).withColumnsRenamed({"digest": "_key", "size": "_id", "key": "_digest", "label": "_hash", "fp": "_doc_id"})
+    for part in (1, 3):
+        out = exact_dedup.keep_first(named.repartition(part))
+        assert out.columns == named.columns
+        assert sorted((r["doc_id"] or 0, r["text"]) for r in out.collect()) == [(0, "n  n"), (1, "a \t b")]
+        near = simhash.keep_one(named.where("doc_id IS NOT NULL").repartition(part))
+        assert near.columns == named.columns
+        # "ab" of 1 and 2 are one component, the texts of two words others.
+        assert sorted((r["doc_id"], r["text"]) for r in near.collect()) == [(1, "a \t b")]
+
+
 def brute_fingerprint(text):
     words = (text or "").encode().lower().split()
     if not words:
@@ -145,10 +173,30 @@ def test_pieces_equal_the_library():
     texts = hard + ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 60))) for _ in range(400)]
     whole = [np.array(e.ids, "<u4").tobytes() for e in enc.tokenizer.encode_batch(texts, add_special_tokens=False)]
     assert enc.encode(texts) == whole
-    small = tokenize.Encoder(tokenize.default_tokenizer(), memo=5)
+    small = tokenize.Encoder(tokenize.default_tokenizer(), memo=2000)
     assert small.encode(texts) == whole
 
 
+def test_long_texts_equal_the_library(monkeypatch):
+    """Cuts of long texts, a memo that turns over inside a text, and packing that is linear in the text's length."""
+    import time
+
+    monkeypatch.setattr(tokenize, "PART", 50)
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("ab  cé.,\n\u00a0x") for _ in range(rng.randint(0, 900))) for _ in range(100)]
+    enc = tokenize.Encoder(tokenize.default_tokenizer(), memo=3000)
+    assert enc.encode(texts) == enc._whole(texts)
+    assert 2 * (enc.inner.held + enc.first.held + enc.memo.held) < 3000 + 20_000
+
+    def seconds(n):
+        packer, began = packing.Packer(16, 2048, 0), time.process_time()
+        packer.add(1, 0, bytes(4 * n), n)
+        assert len(packer.out) == n // 2048
+        return time.process_time() - began
+
+    assert seconds(32 << 20) < 40 * max(seconds(4 << 20), 0.002)
+
+
 def test_added_tokens_equal_a_fresh_tokenizer():
     from tokenizers import Tokenizer
 
