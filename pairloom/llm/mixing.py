@@ -1,20 +1,23 @@
 """Mixing sources to target weights by entropy balancing.
 
-Each source gets a target number of words; its documents get a rate, the expected copies. Among all rates that meet the
-token constraints, those nearest to 1 in relative entropy, each document counting by its words, solve the convex dual
-    min over l of  sum_i size_i exp(l_source(i)) - sum_s target_s l_s,
-so rates are exponential tilts exp(l_s). The dual falls into one term a source, whose gradient and Hessian need the sum
-of sizes only; documents are therefore summed by source once and the Newton iterations run on that table, distributed
-and without a driver's copy of it. Rates are then rounded into whole copies by carrying the error in words from longer
-to shorter documents, within pieces of a source of a bounded number of documents.
-
-Defined results: null and empty texts have size 0, take 0 words and get the rounded rate as copies. A null source is a
-source of its own, after all others. Rows that repeat a doc_id with the same source and size share their copies. Empty
-tables give empty results. Further columns are not read.
+Each source gets a target number of words; its documents get rates, the expected copies. Among all rates of at most CAP
+that meet the token constraints sum of size_i rate_i = target, those nearest to 1 in relative entropy, each document
+counting once, solve the convex dual
+    min over l of  sum_i phi(size_i l_source(i)) - sum_s target_s l_s,   phi' = least(CAP, exp).
+So rates are exponential tilts exp(l_s size_i), at most CAP: a source to be cut loses words in its long documents first,
+one to be raised gains them there. Newton's iterations run on all sources at once; gradient and Hessian are sums over the
+documents in each of them, distributed and added up in Spark (documents of one source and size have one term, counted).
+A step that leaves the interval known to hold the solution halves it instead. Rates are then rounded into whole copies
+by carrying the error in words from longer to shorter documents, within pieces of a source of a bounded number of documents.
+
+Defined results: null and empty texts have size 0, rate 1 (0 if the target is 0 of a source with words), take 0 words and
+get one copy. A null source is a source of its own, after all others. Rows that repeat a doc_id with the same source and
+size share their copies. A document of any length is one unit. Empty tables give empty results. Further columns are not read.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,14 +25,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairloom.llm.common import documents, materialize, ranked_ranges, ship, text_or_empty
+from pairloom.llm.common import BROADCAST_BYTES, documents, materialize, ranked_ranges, ship, text_or_empty, unused
 
 WEIGHTS = (1.0, 2.0, 3.0)
 CAP = 3
 #: Documents of a source that are rounded together.
 PIECE = 2000
 NEWTON_STEPS = 60
-TOLERANCE = 1e-12
+TOLERANCE = 1e-10
 
 
 def words(col: str = "text") -> Column:
@@ -72,23 +75,47 @@ def targets(sources: DataFrame, cap: float = CAP, total: float | None = None) ->
     return sources.withColumn("target", F.least(room, F.lit(level) * F.col("weight")))
 
 
-def newton(sources: DataFrame, steps: int = NEWTON_STEPS, tolerance: float = TOLERANCE) -> DataFrame:
-    """Adds rate = exp(l), where source_size exp(l) = target, by Newton's method on the dual, all sources at once.
+def _rate(cap: float, size: str = "size", l: str = "l") -> Column:
+    return F.exp(F.least(F.col(l) * F.col(size), F.lit(math.log(cap))))
 
-    A step is l - gradient / Hessian with gradient source_size exp(l) - target and Hessian source_size exp(l); it ends
-    when no source's gradient is above tolerance times its size. Sources without words, or with target 0, get rate 0.
+
+def newton(sources: DataFrame, sizes: DataFrame, cap: float = CAP, steps: int = NEWTON_STEPS, tolerance: float = TOLERANCE) -> DataFrame:
+    """Adds l, the dual variable, and flat, a rate for all documents where the constraint leaves no other (else null).
+
+    sources: source, source_size, target and more; sizes: source, size, n (documents of that size); give written tables.
+    A step is l - gradient / Hessian; it ends when no source's gradient is above tolerance times its target (and 1e-8 words).
     """
-    live = (F.col("source_size") > 0) & (F.col("target") > 0)
-    table = sources.withColumn("_l", F.lit(0.0))
-    for step in range(steps):
-        mass = F.col("source_size") * F.exp("_l")
-        table = table.withColumn("_l", F.when(live, F.col("_l") - (mass - F.col("target")) / mass).otherwise(F.lit(0.0)))
-        if step % 4 == 3:
-            table = materialize(table, "newton")
-            worst = table.agg(F.max(F.when(live, F.abs(F.col("source_size") * F.exp("_l") - F.col("target")) / F.col("source_size")))).first()[0]
-            if worst is None or worst <= tolerance:
-                break
-    return table.withColumn("rate", F.when(live, F.exp("_l")).otherwise(F.lit(0.0))).drop("_l")
+    # A target of nothing, or of all that the cap allows, has its solution at an end of the line.
+    flat = F.when(F.col("source_size") <= 0, 1.0).when(F.col("target") <= 0, 0.0)
+    flat = flat.when(F.col("target") >= cap * F.col("source_size") * (1 - 1e-12), float(cap))
+    none = F.lit(None).cast("double")
+    names = sources.columns
+    table = sources.select("*", flat.cast("double").alias("flat"), F.lit(0.0).alias("l"), none.alias("lo"), none.alias("hi"))
+    table = materialize(table.withColumn("done", F.col("flat").isNotNull()), "dual")
+    few = sources.count() * 128 <= BROADCAST_BYTES
+    inside = F.col("l") * F.col("size") < math.log(cap)
+    for _ in range(steps):
+        left = table.where(~F.col("done"))
+        if left.isEmpty():
+            break
+        at = left.select(F.col("source").alias("_s"), "l")
+        terms = sizes.where("size > 0").join(F.broadcast(at) if few else at, F.col("source").eqNullSafe(F.col("_s")))
+        mass = F.col("n") * F.col("size") * _rate(cap)
+        # Decimal sums don't depend on the order, so reruns agree to the last digit.
+        exact = lambda x: F.sum(x.cast("decimal(38,9)")).cast("double")
+        sums = terms.groupBy("_s").agg(exact(mass).alias("_m"), exact(F.when(inside, mass * F.col("size"))).alias("_h"))
+        moved = left.join(F.broadcast(sums) if few else sums, F.col("source").eqNullSafe(F.col("_s")))
+        error = F.col("_m") - F.col("target")
+        moved = moved.withColumn("lo", F.when(error < 0, F.col("l")).otherwise(F.col("lo")))
+        moved = moved.withColumn("hi", F.when(error > 0, F.col("l")).otherwise(F.col("hi")))
+        step = F.col("l") - error / F.col("_h")
+        good = F.coalesce(step > F.col("lo"), F.lit(True)) & F.coalesce(step < F.col("hi"), F.lit(True)) & F.coalesce(F.col("_h") > 0, F.lit(False))
+        far = F.when(F.col("l") != 0, F.col("l") * 2).otherwise(F.when(error < 0, 1e-6).otherwise(-1e-6))
+        new = F.when(good, step).otherwise(F.coalesce((F.col("lo") + F.col("hi")) / 2, far))
+        moved = moved.withColumn("done", F.abs(error) <= tolerance * F.col("target") + 1e-8)
+        moved = moved.withColumn("l", F.when(F.col("done"), F.col("l")).otherwise(new))
+        table = materialize(table.where("done").unionByName(moved.select(*table.columns)), "dual")
+    return table.select(*names, "l", "flat")
 
 
 def _round_pieces(batches: Iterator[pd.DataFrame], cap: int) -> Iterator[pd.DataFrame]:
@@ -115,10 +142,14 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: int = CAP, p
     ship(spark)
     sized = docs.select("doc_id", "source", words().alias("size"))
     units = materialize(sized.groupBy("doc_id", "source", "size").agg(F.count(F.lit(1)).alias("_n")), "sizes")
-    sums = units.groupBy("source").agg(F.sum(F.col("size") * F.col("_n")).alias("source_size"), F.count(F.lit(1)).alias("_docs"))
-    table = materialize(newton(targets(source_weights(sums, weights), cap)), "sources")
-    own = table.select(F.col("source").alias("_s"), "source_size", "target", "rate", "_docs")
-    joined = units.join(own, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
+    bins = units.groupBy("source", "size").agg(F.sum("_n").alias("n"), F.count(F.lit(1)).alias("units"))
+    bins = materialize(bins, "size_bins")
+    sums = bins.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"), F.sum("units").alias("_docs"))
+    goals = materialize(targets(source_weights(sums, weights), cap), "targets")
+    table = newton(goals, bins.select("source", "size", "n"), cap)
+    own = table.select(F.col("source").alias("_s"), "source_size", "target", "l", "flat", "_docs")
+    own = F.broadcast(own) if own.count() * 128 <= BROADCAST_BYTES else own
+    joined = units.join(own, F.col("source").eqNullSafe(F.col("_s"))).withColumn("rate", F.coalesce("flat", _rate(cap))).drop("_s", "l", "flat")
     keyed = joined.withColumn(
         "_piece", F.xxhash64("source", F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("_docs") / F.lit(float(piece)))))
     ).drop("_docs")
@@ -132,11 +163,17 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: int = CAP, p
 
 def apply_mix(docs: DataFrame, **how) -> DataFrame:
     """docs with each row as often as its copies say; rows with none go."""
-    plan = mix(docs, **how).select(F.col("doc_id").alias("_id"), F.col("source").alias("_s"), F.col("size").alias("_z"), "copies")
-    plan = plan.where("copies > 0").distinct()
-    sized = docs.withColumn("_size", words())
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_s")) & (F.col("_size") == F.col("_z"))
-    return sized.join(plan, same).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+    plan = mix(docs, **how).select("doc_id", "source", "size", "copies").where("copies > 0").distinct()
+    size = unused(docs, "_size")
+    sized = docs.withColumn(size, words())
+    names = {c: unused(sized, f"_plan_{c}") for c in plan.columns}
+    plan = plan.withColumnsRenamed(names)
+    same = F.lit(True)
+    for mine, theirs in (("doc_id", "doc_id"), ("source", "source"), (size, "size")):
+        same = same & F.col(mine).eqNullSafe(F.col(names[theirs]))
+    again = unused(sized, "_copy")
+    times = F.explode(F.sequence(F.lit(1), F.col(names["copies"])))
+    return sized.join(plan, same).withColumn(again, times).select(*docs.columns)
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

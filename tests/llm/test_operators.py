@@ -362,6 +362,32 @@ def test_mixing(spark):
     assert copied.count() == sum(r["copies"] for r in out)
 
 
+def test_mixing_equals_a_plain_solver(spark):
+    """Rates of 300 documents against a solver of the dual in one process, with null and one-document sources."""
+    rng = random.Random(8)
+    sizes = [(k, int(rng.paretovariate(1.1) * 20) if k % 9 else 0, rng.choice(["a", "a", "a", "b", "c", None, "d"])) for k in range(299)] + [(299, 5, "e")]
+    table = docs(spark, [(k, " ".join(["w"] * n), s) for k, n, s in sizes])
+    out = mixing.mix(table).collect()
+    assert len(out) == 300
+    for source in {s for _, _, s in sizes}:
+        own = [r for r in out if r["source"] == source]
+        x = np.array([r["size"] for r in own], dtype=float)
+        goal = own[0]["target"]
+        lo, hi = -50.0, 50.0
+        rate = lambda l: np.exp(np.minimum(l * x, np.log(3)))
+        for _ in range(300):
+            mid = (lo + hi) / 2
+            lo, hi = (mid, hi) if (x * rate(mid)).sum() < goal else (lo, mid)
+        want = rate(hi) if goal < 3 * x.sum() * (1 - 1e-9) else np.full(len(x), 3.0)
+        got = np.array([r["rate"] for r in own])
+        assert np.abs(got - want).max() < 1e-6
+        if len(own) > 20:
+            assert len(set(got.round(6))) > 10  # rates differ inside a source
+            assert abs((x * got).sum() - goal) <= 1e-6 * goal
+            taken = sum(r["size"] * r["copies"] for r in own)
+            assert abs(taken - goal) <= max(0.01 * goal, min(z for z in x if z))
+
+
 def test_url_filter(spark):
     urls = [None, "", "no scheme", "http://EXAMPLE.net/en/a?x#y", "https://a.example.com/de/1", "http://example.com", "ftp://b.org/fr/", "http://x.net", "http://x.net/", "a://b://c.net/d"]
     urls += [f"http://spam.example.com/de/{k}" for k in range(60)] + [f"http://good.example.com/en/{k}" for k in range(60)] + [f"http://spam.example.com/xx/{k}" for k in range(6)]
