@@ -10,8 +10,7 @@ documents in each of them, distributed and added up in Spark (documents of one s
 A step that leaves the interval known to hold the solution halves it instead. Rates are then rounded into whole copies
 by carrying the error in words from longer to shorter documents, within pieces of a source of a bounded number of documents.
 
-Defined results: null and empty texts have size 0, rate 1 (0 if the target is 0 of a source with words), take 0 words and
-get one copy. A null source is a source of its own, after all others. Rows that repeat a doc_id with the same source and
+Defined results: null and empty texts have size 0 and rate 1, take 0 words and get one copy. A null source is a source of its own, after all others. Rows that repeat a doc_id with the same source and
 size share their copies. A document of any length is one unit. Empty tables give empty results. Further columns are not read.
 """
 
@@ -149,7 +148,9 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: int = CAP, p
     table = newton(goals, bins.select("source", "size", "n"), cap)
     own = table.select(F.col("source").alias("_s"), "source_size", "target", "l", "flat", "_docs")
     own = F.broadcast(own) if own.count() * 128 <= BROADCAST_BYTES else own
-    joined = units.join(own, F.col("source").eqNullSafe(F.col("_s"))).withColumn("rate", F.coalesce("flat", _rate(cap))).drop("_s", "l", "flat")
+    joined = units.join(own, F.col("source").eqNullSafe(F.col("_s"))).withColumn(
+        "rate", F.when(F.col("size") == 0, 1.0).otherwise(F.coalesce("flat", _rate(cap)))
+    ).drop("_s", "l", "flat")
     keyed = joined.withColumn(
         "_piece", F.xxhash64("source", F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("_docs") / F.lit(float(piece)))))
     ).drop("_docs")
