@@ -4,14 +4,18 @@ A given rule (host, path) fits its host and all subdomains if the URL's path sta
 The URLs that a rule decides are labelled examples. Every URL becomes a set of tokens (top-level name, domain, all host
 labels, all path segments, keys of the query, extension). The rules are those "tokens -> label" of at least SUPPORT (of all rows) and CONFIDENCE
 (URLs without a label count against a rule) that no shorter rule with at least the same confidence and label makes idle.
-They are mined level by level, without a cap: a set of tokens grows only while all its parts are live, i.e. some label has
-it often enough, no part has the same rows, and its rows don't all have one label. What is not live can only give idle
-rules, so tokens that always come together count as one and don't multiply. The counts are summed in Spark and only sets
+Spark's FP-growth finds the frequent sets of tokens and labels, which stay in Spark until the pruning, size by size, has
+left the rules. Sets in long baskets multiply: where the baskets' sizes prove no bound of SETS on the frequent sets, the
+same rules are mined level by level instead, without a cap: a set of tokens grows only while all its parts are live, i.e.
+some label has it often enough, no part has the same rows, and its rows don't all have one label. What is not live can
+only give idle rules, so tokens that always come together don't multiply. There, counts are summed in Spark and only sets
 that are frequent reach the driver. An inverted index from each rule's rarest token to the rule matches them; the rule
-with the highest confidence, then support, decides.
+with the highest confidence decides, among equals that with the highest support, then the shortest, then the first in
+the order of tokens and verdicts.
 
 Defined results: a null URL, or one without "://", has empty host and path, no rule, and the verdict allow unless a mined
-rule with no further condition applied. Repeated rows get a row each. An empty table gives an empty result. Other columns
+rule with no further condition applied. Repeated rows get a row each, and so do null page_ids. URLs of any length are used
+whole. An empty table gives an empty result. Other columns
 are not read. The driver and each matching task hold the rules that are left after pruning.
 """
 
@@ -33,6 +37,8 @@ from pairloom.llm.common import materialize, ship
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
 SUPPORT = 0.005
 CONFIDENCE = 0.8
+#: FP-growth is used if there can't be more frequent sets than this.
+SETS = 1_000_000
 #: Sets that a counting task holds before it hands on its counts.
 HELD = 100_000
 
@@ -125,14 +131,63 @@ def _grow(live: set[tuple[int, ...]], code: dict[str, int]):
     return run
 
 
-def mine(examples: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE) -> list[dict]:
+_LABEL = "\0=>"
+
+
+def _grown(baskets: DataFrame, least: int, total: int, verdicts: list[str], confidence: float) -> list[dict]:
+    """The rules by FP-growth over baskets of frequent tokens and labels."""
+    from pyspark.ml.fpm import FPGrowth
+
+    label = F.when(F.col("verdict").isNotNull(), F.array(F.concat(F.lit(_LABEL), "verdict"))).otherwise(F.array().cast("array<string>"))
+    rows = baskets.select(F.concat("tokens", label).alias("items"))
+    found = FPGrowth(itemsCol="items", minSupport=max(0.0, (least - 0.5) / total)).fit(rows).freqItemsets
+    own = F.array_sort(F.filter("items", lambda t: ~t.startswith(_LABEL)))
+    of = F.filter("items", lambda t: t.startswith(_LABEL))
+    sets = found.select(own.alias("own"), F.get(of, F.lit(0)).alias("label"), "freq").where(F.size("own") > 0)
+    hits = [F.coalesce(F.max(F.when(F.col("label") == _LABEL + v, F.col("freq"))), F.lit(0)) for v in verdicts]
+    sets = sets.groupBy("own").agg(F.max(F.when(F.col("label").isNull(), F.col("freq"))).alias("n"), F.array(*hits).alias("of"))
+    sets = materialize(sets.withColumn("size", F.size("own")), "frequent_sets")
+    rules: list[dict] = []
+    before = None
+    for size in range(1, (sets.agg(F.max("size")).first()[0] or 0) + 1):
+        level = sets.where(F.col("size") == size)
+        zero = F.array(*[F.lit(0.0) for _ in verdicts])
+        if before is None:
+            level = level.withColumn("known", zero)
+        else:  # the highest confidence, by verdict, of a rule from a part
+            without = F.explode(F.transform("own", lambda t: F.array_remove("own", t))).alias("part")
+            parts = level.select("own", without).join(before.select(F.col("own").alias("part"), "best"), "part")
+            best = F.array(*[F.max(F.get("best", F.lit(v))) for v in range(len(verdicts))])
+            level = level.join(parts.groupBy("own").agg(best.alias("known")), "own")
+        chance = F.transform("of", lambda x: F.when((x >= least) & (x / F.col("n") >= confidence), x / F.col("n")).otherwise(0.0))
+        level = level.withColumn("chance", chance).withColumn("best", F.zip_with("chance", "known", lambda a, b: F.greatest(a, b)))
+        before = materialize(level, "rule_level")
+        for r in before.where(F.exists(F.zip_with("chance", "known", lambda a, b: a > b), lambda x: x)).collect():
+            for v, verdict in enumerate(verdicts):
+                if r["chance"][v] > r["known"][v]:
+                    rules.append({"antecedent": r["own"], "verdict": verdict, "confidence": r["of"][v] / r["n"], "support": r["of"][v] / total})
+    return rules
+
+
+def mine(examples: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE, sets: int = SETS) -> list[dict]:
     """Rules from rows with tokens and verdict (null: no label): antecedent, verdict, confidence, support; pruned, best first."""
     baskets = materialize(examples.select("tokens", "verdict").where((F.size("tokens") > 0) | F.col("verdict").isNotNull()), "baskets")
     verdicts = sorted(r[0] for r in baskets.where("verdict IS NOT NULL").select("verdict").distinct().collect())
     if not verdicts:
         return []
     total = baskets.count()
-    least = math.ceil(support * total)
+    least = max(1, math.ceil(support * total))
+    tokens = baskets.select(F.explode("tokens").alias("token"))
+    often = [r[0] for r in tokens.groupBy("token").count().where(F.col("count") >= least).select("token").collect()]
+    few = baskets.select(F.filter("tokens", lambda t: t.isin(often)).alias("tokens"), "verdict")
+    # A frequent set is in at least `least` baskets, and a basket has 2 ** size sets.
+    most = few.agg(F.sum(F.pow(F.lit(2.0), F.size("tokens") + 1))).first()[0] / least
+    rules = _grown(few, least, total, verdicts, confidence) if most <= sets else _by_level(baskets, least, total, verdicts, confidence)
+    return sorted(rules, key=lambda r: (-r["confidence"], -r["support"], len(r["antecedent"]), r["antecedent"], r["verdict"]))
+
+
+def _by_level(baskets: DataFrame, least: int, total: int, verdicts: list[str], confidence: float) -> list[dict]:
+    """The same rules, level by level over live sets."""
 
     def frequent(rows: DataFrame, key: str) -> list:
         """(key, rows, rows of each verdict) of the sets that a verdict has often enough; the others stay where they are."""
@@ -170,7 +225,7 @@ def mine(examples: DataFrame, support: float = SUPPORT, confidence: float = CONF
             sets = materialize(sets.groupBy("items", "verdict").agg(F.count(F.lit(1)).alias("n")), "sets")
         grown = sets.mapInPandas(_grow(set(live), code), "items array<int>, verdict string, n long")
         before, level = live, [(tuple(own), n, of) for own, n, of in frequent(grown, "items")]
-    return sorted(rules, key=lambda r: (-r["confidence"], -r["support"], len(r["antecedent"]), r["antecedent"], r["verdict"]))
+    return rules
 
 
 class Matcher:

@@ -434,6 +434,41 @@ def test_rules_of_deep_segments_and_keys(spark):
     assert [got[k] for k in range(80, 84)] == ["block", "block", "allow", "block"]
 
 
+def plain_rules(rows, support, confidence):
+    """All rules by counting every set of tokens of every row."""
+    from itertools import combinations
+    from math import ceil
+
+    least, known, hits = max(1, ceil(support * len(rows))), {}, {}
+    for tokens, verdict in rows:
+        for k in range(1, len(tokens) + 1):
+            for own in combinations(sorted(tokens), k):
+                known[own] = known.get(own, 0) + 1
+                if verdict:
+                    hits[own, verdict] = hits.get((own, verdict), 0) + 1
+    good = {(own, v): n / known[own] for (own, v), n in hits.items() if n >= least and n / known[own] >= confidence}
+    for (own, v), chance in sorted(good.items()):
+        if not any(good.get((part, v), 0) >= chance for k in range(1, len(own)) for part in combinations(own, k)):
+            yield own, v, chance, hits[own, v] / len(rows)
+
+
+@pytest.mark.parametrize("sets", [10**9, 0])
+def test_mining_equals_all_rules(spark, sets):
+    """FP-growth and the way by levels, against an enumeration; ties, repeated rows, rows without tokens or label."""
+    rng = random.Random(6)
+    rows = []
+    for _ in range(400):
+        own = {f"t:{rng.randint(0, 2)}", f"d:{rng.randint(0, 4)}", *(f"p{k}:{rng.randint(0, 1)}" for k in range(rng.randint(0, 4)))}
+        bad = "p0:1" in own and ("d:1" in own or rng.random() < 0.3)
+        rows.append((sorted(own), rng.choice(["block", "block", None]) if bad else rng.choice(["allow", "allow", "allow", "block", None])))
+    rows += [(["a", "b", "c"], "block")] * 40 + [([], "allow")] * 9 + [(["a"], None)] * 7 + [([], None)] * 5
+    table = spark.createDataFrame(rows, "tokens array<string>, verdict string")
+    got = url_filter.mine(table, 0.02, 0.6, sets)
+    want = list(plain_rules([r for r in rows if r[0] or r[1]], 0.02, 0.6))
+    assert len(want) > 5
+    assert sorted((tuple(r["antecedent"]), r["verdict"], r["confidence"], r["support"]) for r in got) == sorted(want)
+
+
 def test_mined_rules_of_hot_patterns(spark):
     """Two patterns of 14 tokens, a third of all rows each, don't cost an unrelated host its rule: no cap, no doubled support."""
     rows = [([f"{x}{k}" for k in range(14)], v) for x, v in (("a", "block"), ("b", "allow")) for _ in range(300)] + [([f"a{k}" for k in range(14)], None)] * 30
