@@ -565,15 +565,56 @@ def test_hnsw(spark):
     assert hnsw.nearest(few.limit(0)).count() == 0
 
 
-def test_graph_recall():
+@pytest.mark.parametrize(("offset", "scale"), [(0, 1.0), (1e5, 1.0), (0, 1e25), (0, 1e-25), (0, 1e200)])
+def test_graph_recall(offset, scale):
     rng = np.random.default_rng(1)
-    x = rng.normal(size=(3000, 16))
-    graph = hnsw.Graph(x, hnsw.build(x))
-    hit = 0
-    for q in rng.normal(size=(50, 16)):
-        found, _ = graph.search(q, 10, hnsw.EF)
-        hit += len(set(found) & set(np.argsort(((x - q) ** 2).sum(1))[:10]))
-    assert hit >= 0.95 * 500
+    v = (rng.normal(size=(2000, 32)) + offset) * scale
+    x = np.ldexp(v, -int(np.floor(np.log2(np.abs(v).max()))))
+    graph, hits = hnsw.build(x), 0
+    for q in x[:100]:
+        found, dist = graph.search(q, 10, hnsw.EF)
+        d = ((x - q) ** 2).sum(1)
+        assert len(found) >= 10 and np.allclose(dist, np.sort(d[found]), rtol=1e-12) and (np.diff(dist) >= 0).all()
+        hits += len(set(found[:10].tolist()) & set(np.argsort(d, kind="stable")[:10].tolist()))
+    assert hits >= 0.95 * 1000
+
+
+def test_graph_is_stored_whole(tmp_path):
+    from pairloom.llm import store
+
+    x = np.random.default_rng(2).normal(size=(500, 4))
+    graph = hnsw.build(x)
+    ids = [[p, 1000 + p][: 1 + p % 2] for p in range(500)]
+    store.write_file(f"{tmp_path}/a", hnsw.stored(graph, ids))
+    again, ends, flat = hnsw.load(f"{tmp_path}/a")
+    assert [flat[ends[p - 1] if p else 0 : ends[p]].tolist() for p in range(500)] == ids
+    for q in x[:20]:
+        assert [y.tolist() for y in graph.search(q, 10, 50)] == [y.tolist() for y in again.search(q, 10, 50)]
+
+
+def test_hnsw_lengths_scales_and_ties(spark):
+    """Two vector lengths, far points that a walk doesn't reach, equal distances across shards; all candidates if there are few."""
+    rng = np.random.default_rng(3)
+    rows = [(i, v.tolist()) for i, v in enumerate(rng.normal(size=(300, 6)) * 1e25)]
+    rows += [(1000 + i, v.tolist()) for i, v in enumerate(rng.normal(size=(301, 3)))] + [(5000, [1.0]), (5001, [4.0]), (5002, [-2.0]), (5100, [7.0])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for r in hnsw.nearest(table).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    by_id = {i: np.array(v) for i, v in rows}
+    for q in (i for i in by_id if i % 100 == 0):
+        want = sorted((float(np.sqrt(((by_id[i] - by_id[q]) ** 2).sum())), i) for i in by_id if i != q and len(by_id[i]) == len(by_id[q]))[:10]
+        found = sorted(got.get(q, []))
+        assert [f[1] for f in found] == [i for _, i in want]
+        assert all(abs(f[2] - d) <= 1e-12 * d for f, (d, _) in zip(found, want, strict=True))
+    ring = [(k, [float(np.cos(k)), float(np.sin(k))]) for k in range(1, 40)] + [(100, [0.0, 1e-300])]
+    ties = [(k, [1.0 if k % 2 else -1.0, float(k % 3 - 1)]) for k in range(1, 60)] + [(200, [0.0, 50.0])]
+    for own in (ring, ties):
+        out = hnsw.nearest(spark.createDataFrame(own, "vec_id long, embedding array<double>")).collect()
+        q = own[-1]
+        want = sorted((float(np.sqrt(((np.array(v) - np.array(q[1])) ** 2).sum())), i) for i, v in own[:-1])[:10]
+        assert [round(r["score"], 12) for r in sorted(out, key=lambda r: r["rank"])] == [round(d, 12) for d, _ in want]
+    assert [r["vec_id"] for r in sorted(out, key=lambda r: r["rank"])] == [i for _, i in want]
 
 
 def labels(spark, rows):
