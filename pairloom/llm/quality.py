@@ -4,12 +4,12 @@ Two dictionaries are built from labelled texts. A text, in pieces of PIECE bytes
 throughout, is compressed with each. The difference bad - good of the summed sizes, normalised by their sum and by the
 text's length, says which the text is more like; with the mean size by length, which tells how far the difference can go
 at all, it is turned into a chance of label 1 by a quadratic logistic curve. The curve is fitted on labelled texts that
-the dictionaries have not seen. At most ROWS labelled documents of each label are used, two thirds of them for the
-dictionaries; scoring reads whole texts where they are.
+the dictionaries have not seen. At most ROWS labelled documents of each label, with whole texts of at most
+labelled.BYTES together, are used, two thirds of them (up to TRAIN_BYTES) for the dictionaries; scoring reads whole texts where they are.
 
 Defined results: null and empty texts have differences and size 0 and get the curve's value there. If the labels have
 one class only (or none), every text scores the share of label 1 (or 1: nothing speaks against it). Repeated rows get a
-row each; only doc_id and text are read.
+row each, very long texts count whole; only doc_id and text are read, whatever the other columns are called.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,7 +27,7 @@ from pairloom.llm.common import documents, held_out, ship, text_or_empty
 from pairloom.llm.labelled import labelled_sample
 
 ROWS = 4500
-#: Labelled text that one dictionary is built from.
+#: Bytes of whole texts, taken in the order of a hash, that one dictionary is built from: more don't make it better.
 TRAIN_BYTES = 8 << 20
 PIECE = 1000
 DICTIONARY = 32768
@@ -39,12 +40,11 @@ def _pieces(text: bytes) -> list[bytes]:
 
 
 def _dictionary(texts: list[bytes]) -> bytes:
-    samples, size = [], 0
-    for t in texts:
-        for p in _pieces(t):
-            if size < TRAIN_BYTES:
-                samples.append(p)
-                size += len(p)
+    samples, left = [], TRAIN_BYTES
+    for t in sorted(texts, key=lambda t: (xxhash.xxh64_intdigest(t), t)):
+        if len(t) <= left:
+            left -= len(t)
+            samples += _pieces(t)
     try:
         return zstandard.train_dictionary(DICTIONARY, samples).as_bytes()
     except zstandard.ZstdError:  # too little text: the text itself is the dictionary

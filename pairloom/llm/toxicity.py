@@ -3,10 +3,14 @@
 A document is a bag of sentences. A sentence is toxic with chance p = sigmoid(b + the weights of what its words show: each
 word, and each word's first 3 to 6 letters), a document if any sentence is: 1 - product of (1 - p), the noisy-or.
 Weights are fitted to document labels alone, by gradient steps on the likelihood of that noisy-or; the model then names
-the sentences at fault. The fit uses at most ROWS labelled documents of each label; scoring reads whole texts, once, where they are.
+the sentences at fault. The fit uses at most ROWS labelled documents of each label (whole texts of at most
+labelled.BYTES together), and of their features the FEATURES whose share of documents differs most between the labels, if
+at least LEAST_DOCS of the sample have one and the difference is over LEAST_Z standard errors; it stops when the
+likelihood hardly rises, after STEPS at most. Scoring reads whole texts, once, where they are.
 
 Defined results: null and empty texts, and texts without letters, have no sentence and score 0. If the labels have one
-class only (or none), every text scores the share of label 1 (or 0). Repeated rows get a row each; only doc_id and text are read.
+class only (or none), every text scores the share of label 1 (or 0). Repeated rows get a row
+each; only doc_id and text are read, whatever the other columns are called.
 """
 
 from __future__ import annotations
@@ -27,7 +31,11 @@ from pairloom.llm.labelled import labelled_sample
 #: Labelled documents of each label that the model is fitted on.
 ROWS = 2000
 FEATURES = 4000
+LEAST_DOCS = 5
+LEAST_Z = 5.0
 STEPS = 300
+#: The fit stops when 10 steps raise the mean log-likelihood by less.
+RISE = 2e-5
 #: Different words that a process remembers the weight of.
 MEMO = 500_000
 
@@ -40,7 +48,7 @@ def word_features(word: str) -> list[str]:
 
 
 def _select(bags: list[list[set[str]]], y: np.ndarray, most: int) -> dict[str, int]:
-    """The features whose share of documents differs most between the labels, in standard errors of over 5."""
+    """The features whose share of documents differs most between the labels, in standard errors of over LEAST_Z."""
     seen = (Counter(), Counter())
     for sentences, label in zip(bags, y, strict=True):
         seen[int(label)].update({f for w in set().union(*sentences) for f in word_features(w)} if sentences else ())
@@ -49,11 +57,11 @@ def _select(bags: list[list[set[str]]], y: np.ndarray, most: int) -> dict[str, i
     scored = []
     for f in seen[0].keys() | seen[1].keys():
         a, b = seen[1][f], seen[0][f]
-        if a + b < 5:
+        if a + b < LEAST_DOCS:
             continue
         share = (a + b) / len(y)
         error = math.sqrt(share * (1 - share) * (1 / n1 + 1 / n0)) or 1.0
-        if abs(z := (a / n1 - b / n0) / error) > 5:
+        if abs(z := (a / n1 - b / n0) / error) > LEAST_Z:
             scored.append((-abs(z), f))
     return {f: i for i, (_, f) in enumerate(sorted(scored)[:most])}
 
@@ -80,11 +88,15 @@ def fit(sample: list[tuple[str, int, float]], most: int = FEATURES, steps: int =
     at, feature, owner = (np.array(x, dtype="int64") for x in (at, feature, owner))
     theta, m, v = np.zeros(len(index) + 1), np.zeros(len(index) + 1), np.zeros(len(index) + 1)
     theta[-1] = -6.0
+    likelihoods = []
     for step in range(1, steps + 1):
         z = theta[-1] + np.bincount(at, theta[feature], len(owner))
         p, rest = 1 / (1 + np.exp(-z)), 1 / (1 + math.exp(-theta[-1]))
         log_none = np.bincount(owner, -np.logaddexp(0, z), len(y)) - plain * math.log1p(math.exp(theta[-1]))
         none = np.exp(log_none)
+        likelihoods.append(float(np.average(np.where(y == 1, np.log(np.maximum(1 - none, 1e-6)), log_none), weights=weight)))
+        if step > 60 and likelihoods[-1] - likelihoods[-11] < RISE:
+            break
         # The likelihood's slope in each sentence's log-odds; a label that nothing explains has a bounded pull.
         pull = np.where(y == 1, none / np.maximum(1 - none, 0.05), -1.0) * weight / weight.mean()
         by_sentence = pull[owner] * p

@@ -645,6 +645,69 @@ def test_toxicity(spark):
     assert toxicity.score(table, none).where("score <> 0").count() == 0
 
 
+def test_toxicity_equals_a_plain_noisy_or(spark):
+    """Scores recomputed sentence by sentence from the weights; weights that no small change improves; rows and labels that repeat."""
+    import math
+    import re
+
+    texts = [prose(k, 12) + ". " + ("ugh blarg. " if k % 3 == 0 else "") + prose(k + 500, 9) for k in range(120)]
+    sample = [(t, int(k % 3 == 0), 1.0) for k, t in enumerate(texts)]
+    model = toxicity.fit(sample)
+
+    def plain(text):
+        none = 1.0
+        for sentence in re.split(r"[.!?\n]", text.lower()):
+            words = set(re.findall(r"[^\W\d_]+", sentence))
+            if words:
+                shown = {f for w in words for f in ["=" + w, *(w[:k] for k in range(3, 7) if len(w) >= k)] if f in model["weights"]}
+                none *= 1 - 1 / (1 + math.exp(-(model["bias"] + sum(model["weights"][f] for f in shown))))
+        return 1 - none
+
+    long = ". ".join(texts) * 40
+    rows = [(k, t, "s") for k, t in enumerate([*texts, long, "", "?!"])] + [(0, texts[0], "s")] * 3
+    got = toxicity.score(docs(spark, rows).withColumnsRenamed({"digest": "score", "fp": "bias"}), model).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert r["score"] == pytest.approx(plain(dict((i, t) for i, t, _ in rows)[r["doc_id"]]), abs=1e-9)
+    # Labels: those of one id count by their mean, none of held-out rows count, the sample is whole texts within the bytes.
+    marks = labels(spark, [(1, 1, 1), (1, 0, 1), (2, 0, 0), (2, 1, 0), (2, 0, 0), (3, 1, 1), (None, 1, 1), (7, None, None)])
+    table = docs(spark, [(k, f"text {k}", "s") for k in range(10)] + [(1, "text 1", "s")])
+    found = labelled.labelled_sample(table, marks, "toxic", 10)
+    want = {f"text {k}": v for k, v in ((1, 1), (2, 0), (3, 1)) if zlib.crc32(str(k).encode()) % 5}
+    assert {t: v for t, v, _ in found} == want and len(found) == len(want)
+    big = docs(spark, [(k, "x" * (1000 if k % 2 else 10), "s") for k in range(200)])
+    some = labelled.labelled_sample(big, labels(spark, [(k, 1, 1) for k in range(200)]), "toxic", 200, 3000)
+    assert sum(len(t) for t, _, _ in some) <= 3000 and {len(t) for t, _, _ in some} == {10, 1000}
+
+
+def test_quality_equals_plain_sizes(spark):
+    """Scores recomputed from the sizes that zstandard gives piece by piece with each dictionary."""
+    import zstandard
+
+    sample = [(prose(k, 60), 1, 1.0) if k % 2 else (" ".join(f"BUY{k % 5} NOW{j}" for j in range(40)), 0, 1.0) for k in range(90)]
+    model = quality.fit(sample)
+    texts = [t for t, _, _ in sample[:20]] + ["", prose(3, 5000), "\u00e9\U0001f600 x"]
+    rows = [(k, t, "s") for k, t in enumerate(texts)] + [(0, texts[0], "s")] * 2 + [(77, None, "s")]
+    got = quality.score(docs(spark, rows).withColumnsRenamed({"digest": "score", "fp": "good"}), model).collect()
+    assert len(got) == len(rows)
+
+    def size(text, dictionary):
+        raw = text.encode()
+        pieces = [raw[i : i + 1000] for i in range(0, len(raw), 1000)]
+        own = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(dictionary), write_content_size=False, write_dict_id=False)
+        return sum(len(own.compress(p)) for p in pieces)
+
+    for r in got:
+        text = {i: t for i, t, _ in rows}[r["doc_id"]] or ""
+        x = [0.0, 0.0, 0.0]
+        if text:
+            good, bad, n = size(text, model["good"]), size(text, model["bad"]), len(text.encode())
+            x = [(bad - good) / (bad + good), (bad - good) / n, (bad + good) / 2 / n]
+        z = [min(4, max(-4, (a - m) / s)) for a, m, s in zip(x, model["curve"].mean, model["curve"].spread, strict=True)]
+        terms = [1.0, *z, *(z[i] * z[j] for i in range(3) for j in range(i, 3))]
+        assert r["score"] == pytest.approx(1 / (1 + np.exp(-float(np.dot(terms, model["curve"].beta)))), abs=1e-9)
+
+
 def test_quality(spark):
     rows, marks = [], []
     for i in range(400):
@@ -683,3 +746,53 @@ def test_empty_tables(spark):
     model = toxicity.fit([])
     assert toxicity.score(none, model).count() == 0
     assert quality.score(none, quality.fit([])).count() == 0
+
+
+def test_op_queries_and_pipeline(spark, tmp_path):
+    """Each opN_ query has its columns and a row per row; each stage of the pipeline does what it says with the stage's own input."""
+    import corpus_pipeline
+    from pairloom.llm.queries import QUERIES
+
+    rng = random.Random(4)
+    rows = [(k, ". ".join(prose(k * 7 + j, 12) for j in range(rng.randint(1, 30))), f"s{k % 4}") for k in range(250)]
+    rows += [(300 + k, " | ".join(f"BUY!! {k % 5} NOW{j}" for j in range(k % 7, 60)), "s1") for k in range(80)]
+    rows += [(400 + k, rows[k][1].replace(" ", "  ", 1), "s2") for k in range(20)] + [(430 + k, rows[k][1].replace("alpha", "ALPHA"), None) for k in range(20)]
+    rows += [(500, None, None), (501, "", "s9"), (None, prose(5, 30), "s1"), (502, prose(2, 30_000), "s3"), *[(9, rows[9][1], "s1")] * 3]
+    marks = [(i, 0, int(not 300 <= i < 400)) for i, _, _ in rows[:330]]
+    docs(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    labels(spark, marks).write.parquet(f"{tmp_path}/labels.parquet")
+    d = str(tmp_path)
+    for name in ("op2_simhash", "op4_token_files", "op5_packing", "op6_toxicity", "op7_quality", "op9_exact_dedup", "op10_mixing"):
+        out = QUERIES[name](spark, d).collect()
+        assert name == "op5_packing" or len(out) == len(rows), name
+
+    table, kept = docs(spark, rows), {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        before = [tuple(r) for r in table.collect()]
+        table = common.materialize(stage(spark, table, d), "test_stage")
+        assert table.columns == docs(spark, []).columns, name
+        kept[name] = before, [tuple(r) for r in table.collect()]
+
+    before, after = kept["quality_classifier"]
+    good = {r["doc_id"]: r["score"] >= quality.ACCEPT for r in quality.score(docs(spark, rows), quality.learned(spark, docs(spark, rows), d)).collect()}
+    key = lambda r: tuple(str(x) for x in r)
+    assert sorted(after, key=key) == sorted((r for r in before if good[r[0]]), key=key)
+    assert sum(300 <= (r[0] or 0) < 400 for r in after) < 8 and sum((r[0] or 0) < 250 for r in after) > 240
+    before, after = kept["exact_dedup"]
+    best = {}
+    for r in before:
+        own = "".join(c for c in r[1] or "" if c not in " \t\n\x0b\f\r")
+        best[own] = min(best.get(own, r), r, key=lambda r: (-len(r[1] or ""), r[0] is None, r[0] or 0))
+    assert sorted(after, key=key) == sorted(best.values(), key=key)
+    before, after = kept["simhash_near_dedup"]
+    component = brute_components({r[0]: brute_fingerprint(r[1]) for r in before if r[0] is not None})
+    assert sorted(after, key=key) == sorted((r for r in before if r[0] is None or component[r[0]] == r[0]), key=key)
+    before, after = kept["mixing"]
+    plan = {r["doc_id"]: r["copies"] for r in mixing.mix(docs(spark, []).unionByName(spark.createDataFrame(before, DOC))).collect()}
+    assert sorted(after, key=key) == sorted((r for r in before for _ in range(plan[r[0]])), key=key)
+    check_packed(packing.pack(table).collect(), [(r[0], r[1], r[2]) for r in after], packing.SIZE)
+    whole = corpus_pipeline.run(spark, d).collect()
+    assert sum(r["length"] for r in whole) == sum(map(len, brute_ids([(r[0], r[1], r[2]) for r in after], 1)))
+    docs(spark, []).write.parquet(f"{tmp_path}/empty/documents.parquet")
+    labels(spark, []).write.parquet(f"{tmp_path}/empty/labels.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/empty").count() == 0
