@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_KV = r"(?is)COL\s+(\S+)\s+VAL\s+(.*?)(?=\s+COL\s+\S+\s+VAL\s+|$)"
+# Fixed value: how a record string is read. White space and words are Unicode's.
+_KV = r"(?isU)COL\s+(\S+)\s+VAL\s+(.*?)(?=\s+COL\s+\S+\s+VAL\s+|$)"
 
 # The prompts' wording, which the answers of a model depend on.
 PROMPT = (
@@ -22,11 +23,7 @@ JELLYFISH_PROMPT = (
     "Record B: [%s]\n"
     "Are record A and record B the same entity? Choose your answer from: [Yes, No]."
 )
-SHORT_JELLYFISH_PROMPT = (
-    "You are tasked with determining whether two records listed below describe the same entity.\n"
-    "Return exactly one token: 'Yes' or 'No'.\n\n"
-    "Record A:\n%s\n\nRecord B:\n%s\n\nAnswer:"
-)
+SYSTEM = "You are an entity matching system."
 
 
 def serialize(*attrs: tuple[str, Column]) -> Column:
@@ -36,10 +33,10 @@ def serialize(*attrs: tuple[str, Column]) -> Column:
 
 def clean_value(v: Column) -> Column:
     """Without language tags and one pair of quotes; white space single; none and nan are N/A."""
-    v = F.trim(F.regexp_replace(F.trim(v), r"(?i)@[a-z]{2,3}\b", ""))
+    v = F.trim(F.regexp_replace(F.trim(v), r"(?iU)@[a-z]{2,3}\b", ""))
     v = F.regexp_replace(v, r'(?s)^"(.*)"$', "$1")
     v = F.when(v.rlike(r'^"[^"]*"'), F.regexp_extract(v, r'^"([^"]*)"', 1)).otherwise(v)
-    v = F.trim(F.regexp_replace(v, r"\s+", " "))
+    v = F.trim(F.regexp_replace(v, r"(?U)\s+", " "))
     return F.when(F.lower(v).isin("none", "nan"), "N/A").otherwise(v)
 
 
@@ -59,13 +56,25 @@ def flatten(record: Column, lines: bool = False) -> Column:
 
 
 def prompt(left: Column, right: Column, model: str = "") -> Column:
-    """The template goes by the model's name; data is put in as it is, braces too."""
-    jellyfish = "jellyfish" in model.lower()
-    return F.format_string(JELLYFISH_PROMPT if jellyfish else PROMPT, flatten(left), flatten(right))
+    """The template goes by the model's name: one kind of model gets flattened records, the others the records as they are. Braces stay."""
+    if "jellyfish" in model.lower():
+        return F.format_string(JELLYFISH_PROMPT, flatten(left), flatten(right))
+    return F.format_string(PROMPT, left, right)
+
+
+def chat(left: Column, right: Column, model: str = "") -> Column:
+    """The prompt as messages of a chat: array<struct<role, content>>."""
+    said = lambda role, text: F.struct(F.lit(role).alias("role"), text.alias("content"))
+    return F.array(said("system", F.lit(SYSTEM)), said("user", prompt(left, right, model)))
+
+
+def arity(line: Column) -> Column:
+    """The number of tab-separated fields: lenient readers take more than 2, strict ones exactly 3."""
+    return F.size(F.split(line, "\t", -1))
 
 
 def yes_label(answer: Column) -> Column:
-    return F.coalesce(F.lower(F.trim(answer)).rlike(r"^\s*yes\b"), F.lit(False)).cast("int")
+    return F.coalesce(F.lower(F.trim(answer)).rlike(r"(?U)^\s*yes\b"), F.lit(False)).cast("int")
 
 
 def title(record: Column) -> Column:
@@ -75,10 +84,10 @@ def title(record: Column) -> Column:
 
 
 def normal_number(token: Column) -> Column:
-    """Whole numbers without decimals, others with two; what is no number stays."""
-    plain = token.rlike(r"^[+-]?(\d+(\.\d*)?|\.\d+)$")
+    """Whole numbers without decimals, others with two; what is no number, or is 2**63 or more, stays."""
     x = token.try_cast("double")
-    whole = F.format_string("%d", x.cast("long"))
+    plain = token.rlike(r"^[+-]?(\d+(\.\d*)?|\.\d+)$") & (F.abs(x) < 2.0**63)
+    whole = F.format_string("%d", F.when(F.abs(x) < 2.0**63, x).cast("long"))
     return F.when(plain & (x == F.round(x)), whole).when(plain, F.format_string("%.2f", x)).otherwise(token)
 
 
@@ -99,5 +108,6 @@ def decide(p: Column, threshold=0.5) -> Column:
     return (p > t).cast("int")
 
 
-def confidence(p: Column, match: Column) -> Column:
-    return F.when(match == 1, p).otherwise(1 - p)
+def confidence(p: Column, match: Column, late_fusion: bool = False) -> Column:
+    """The chance of the class that was decided; late fusion shows the cosine itself."""
+    return p if late_fusion else F.when(match == 1, p).otherwise(1 - p)

@@ -53,6 +53,11 @@ def plus(a: Column, b: Column) -> Column:
     return F.zip_with(a, b, lambda x, y: x + y)
 
 
+def mixed(a: Column, b: Column, share: Column) -> Column:
+    """share of a and the rest of b: how an encoding and that of its augmented text are joined."""
+    return F.zip_with(a, b, lambda x, y: x * share + y * (1 - share))
+
+
 def over(v: Column, n: Column) -> Column:
     return F.transform(v, lambda x: x / n)
 

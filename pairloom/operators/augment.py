@@ -12,6 +12,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pairloom.operators.tagging import STRUCTURE
+from pairloom.sources.tables import written
+
 OPS = ("del", "swap", "drop_len", "drop_sym", "drop_same", "drop_token", "ins", "append_col", "drop_col", "all")
 _STRIP = '.,:-_()"'
 
@@ -41,21 +44,34 @@ def needed(train: DataFrame, total: int) -> DataFrame:
 def negatives(train: DataFrame, need: DataFrame, seed: int = 22, tries: int = 4) -> DataFrame:
     """domain, left, right: new pairs of a domain's titles that exist in neither order, need_neg of them if there are so many.
 
-    Titles are ranked by md5; rank i is paired with ranks i + 1 to i + reach, where reach is tries times the need per title.
+    Titles are ranked by md5 and pairs taken by the distance of their ranks, then by the first rank. Pairs up to a distance
+    of `tries` times the need per title are tried, then further ones while a domain hasn't enough and has more.
     """
     titles = train.select("domain", F.explode(F.array("left", "right")).alias("title")).distinct()
     order = Window.partitionBy("domain").orderBy(F.md5(F.concat_ws("|", F.lit(str(seed)), "title")), "title")
-    ranked = titles.withColumn("i", F.row_number().over(order))
+    ranked = written(titles.withColumn("i", F.row_number().over(order)), "titles")
+    known = train.select(F.col("domain").alias("_d"), F.least("left", "right").alias("_a"), F.greatest("left", "right").alias("_b"))
+    known = written(known.distinct(), "known_pairs")
+    while True:
+        out, short = _new_pairs(ranked, known, need, tries)
+        if short.isEmpty():
+            return out
+        tries *= 4
+
+
+def _new_pairs(ranked: DataFrame, known: DataFrame, need: DataFrame, tries: int) -> tuple[DataFrame, DataFrame]:
+    """(new pairs up to a distance of ranks, the domains that need more and have more)."""
     size = ranked.groupBy("domain").agg(F.max("i").alias("m"))
     reach = F.ceil(F.lit(tries) * F.col("need_neg") / F.col("m")) + 1
     sized = need.where("need_neg > 0").join(size, "domain").select("domain", "need_neg", "m", F.least(reach, F.col("m") - 1).alias("reach"))
     a = ranked.join(sized, "domain").where("reach > 0").withColumn("j", F.explode(F.sequence(F.col("i") + 1, F.col("i") + F.col("reach"))))
     b = ranked.select("domain", F.col("i").alias("j"), F.col("title").alias("right"))
     drawn = a.join(b, ["domain", "j"]).select("domain", F.col("title").alias("left"), "right", "need_neg", "i", "j")
-    known = train.select(F.col("domain").alias("_d"), F.least("left", "right").alias("_a"), F.greatest("left", "right").alias("_b"))
     fresh = drawn.join(known, (F.col("domain") == F.col("_d")) & (F.least("left", "right") == F.col("_a")) & (F.greatest("left", "right") == F.col("_b")), "left_anti")
     place = F.row_number().over(Window.partitionBy("domain").orderBy(F.col("j") - F.col("i"), "i"))
-    return fresh.withColumn("k", place).where(F.col("k") <= F.col("need_neg")).select("domain", "left", "right")
+    out = written(fresh.withColumn("k", place).where(F.col("k") <= F.col("need_neg")).select("domain", "left", "right"), "negatives")
+    got = out.groupBy("domain").agg(F.count(F.lit(1)).alias("got"))
+    return out, sized.where("reach < m - 1").join(got, "domain", "left").where(F.coalesce("got", F.lit(0)) < F.col("need_neg"))
 
 
 def positives(train: DataFrame, need: DataFrame, synonyms: dict | None, seed: int = 22) -> DataFrame:
@@ -76,8 +92,13 @@ def augmented(train: DataFrame, total: int, synonyms: dict | None = None, seed:
     return train.select("domain", "left", "right", "label").unionByName(new) if include_original else new
 
 
+def synonyms_for(domain: str, maps: dict[str, dict[str, list[str]]]) -> dict[str, list[str]] | None:
+    """The first synonym table whose name is a part of the domain's name; None: none."""
+    return next((table for name, table in maps.items() if name in domain), None)
+
+
 def _kind(token: str) -> str:
-    return "HD" if token in ("COL", "VAL") else "<SEP>" if token in ("[CLS]", "[SEP]") else "O"
+    return next((kind for kind, tokens in STRUCTURE.items() if token in tokens), "O")
 
 
 def _span(tokens: list[str], n: int, rng: random.Random) -> int | None:

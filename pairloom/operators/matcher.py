@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairloom.functions import records as R
@@ -54,6 +54,37 @@ def features(pairs: DataFrame) -> DataFrame:
     return pairs.withColumn("_a", words("left")).withColumn("_b", words("right")).withColumn("features", array_to_vector(x)).drop("_a", "_b")
 
 
+#: What each kind of saved model scores with: the pair's own classifier, or the cosine of two records' encodings, or both.
+KINDS = {"pairwise": ("pair",), "singleton": ("single",), "dual": ("pair", "single")}
+
+
+def save(model: LogisticRegressionModel, path: str, kind: str, budget: int, f1: float, keep_lower: bool = False) -> bool:
+    """Saves a model with its kind, budget and F1. keep_lower: a saved one of a budget up to this with a greater F1 stays. True: saved."""
+    if kind not in KINDS:
+        raise ValueError(f"unknown kind {kind}")
+    spark = SparkSession.active()
+    if keep_lower and (old := _settings(spark, path)) is not None and old["f1"] > f1 and old["budget"] <= budget:
+        return False
+    model.write().overwrite().save(f"{path}/model")
+    spark.createDataFrame([(kind, int(budget), float(f1))], "kind string, budget long, f1 double").coalesce(1).write.mode("overwrite").json(f"{path}/settings")
+    return True
+
+
+def _settings(spark: SparkSession, path: str) -> dict | None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/settings")
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        return None
+    return spark.read.schema("kind string, budget long, f1 double").json(f"{path}/settings").first().asDict()
+
+
+def load(path: str) -> tuple[LogisticRegressionModel, dict]:
+    """The saved model, and its settings with `scores`, what its kind scores with. An error names a path without a model."""
+    found = _settings(SparkSession.active(), path)
+    if found is None:
+        raise FileNotFoundError(f"no saved model at {path}")
+    return LogisticRegressionModel.load(f"{path}/model"), found | {"scores": KINDS[found["kind"]]}
+
+
 def train(rows: DataFrame, steps: int = 50) -> LogisticRegressionModel:
     return LogisticRegression(maxIter=steps, regParam=0.01).fit(rows.select("features", F.col("label").cast("double").alias("label")))
 

@@ -72,6 +72,22 @@ def averages(f1: DataFrame, weights: DataFrame) -> DataFrame:
     return both.agg(F.avg("f1").alias("macro_f1"), (F.sum(F.col("f1") * F.col("weight")) / F.sum("weight")).alias("weighted_f1"))
 
 
+def best_so_far(rows: DataFrame, keys: list[str], value: str, order: str) -> DataFrame:
+    """Adds best: the greatest value of this and all rows before in order, as when the model of a lower budget is kept."""
+    below = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    return rows.withColumn("best", F.max(value).over(below))
+
+
+def losses(p: Column, cosine: Column, label: Column, alpha: float = 1.0) -> dict[str, Column]:
+    """Aggregates: cross_entropy of chances p, cosine_loss (matches near 1, others not above 0), and what each kind of model
+    is trained on: pairwise the first, late_fusion the second, dual the first plus alpha times the second."""
+    own = F.greatest(F.when(label == 1, p).otherwise(1 - p), F.lit(1e-12))
+    cross = F.avg(-F.log(own))
+    near = F.coalesce(F.avg(F.when(label == 1, 1 - cosine)), F.lit(0.0))
+    far = F.coalesce(F.avg(F.when(label == 0, F.greatest(cosine, F.lit(0.0)))), F.lit(0.0))
+    return {"cross_entropy": cross, "cosine_loss": near + far, "pairwise": cross, "late_fusion": near + far, "dual": cross + alpha * (near + far)}
+
+
 def first_best(rows: DataFrame, keys: list[str], value: str, order: str, keep: list[str]) -> DataFrame:
     """Per key the row with the greatest value above 0; of equal ones the first in order."""
     best = F.max_by(F.struct(*keep, value, order), F.struct(F.col(value), (-F.col(order)).alias("less")))

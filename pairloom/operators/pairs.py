@@ -9,13 +9,22 @@ from pyspark.sql import functions as F
 
 from pairloom.functions import vectors as V
 
-#: Rows of a side that may be broadcast.
+#: Rows and bytes of a side that may be broadcast.
 SMALL = 100_000
+SMALL_BYTES = 32 << 20
 
 
-def small(df: DataFrame, rows: int = SMALL) -> DataFrame:
-    """df with a broadcast hint if its counted rows allow it. Counting an aggregate reads its keys only."""
-    return F.broadcast(df) if df.count() <= rows else df
+def _bytes(df: DataFrame) -> Column:
+    """About the bytes of a row."""
+    own = [F.size(c) * 8 if kind.startswith("array") else F.octet_length(c) if kind in ("string", "binary") else F.lit(8) for c, kind in df.dtypes]
+    return F.lit(16) + sum((F.coalesce(x, F.lit(0)).cast("long") for x in own), F.lit(0))
+
+
+def small(df: DataFrame, rows: int = SMALL, most_bytes: int = SMALL_BYTES) -> DataFrame:
+    """df, computed once and kept, with a broadcast hint if its counted rows and bytes allow it."""
+    kept = df.persist()
+    n, size = kept.agg(F.count(F.lit(1)), F.sum(_bytes(kept))).first()
+    return F.broadcast(kept) if n <= rows and (size or 0) <= most_bytes else kept
 
 
 def numbered(df: DataFrame, domain: str, *order: str) -> DataFrame:

@@ -40,10 +40,13 @@ def own_rows(train: DataFrame, budget: int, seed: int = SEED) -> tuple[DataFrame
     """(rows with target, donor, pair_idx, pos, n; the domains that need donors with their n)."""
     n = train.groupBy("domain").agg(F.count(F.lit(1)).alias("n"))
     rows = train.select("domain", "pair_idx").join(small(n), "domain")
-    by = lambda *o: F.row_number().over(Window.partitionBy("domain").orderBy(*o)) - 1
-    rich = rows.where(F.col("n") >= budget).withColumn("pos", by(draw(seed, "domain", "pair_idx"), "pair_idx")).where(F.col("pos") < budget)
-    poor = rows.where(F.col("n") < budget).withColumn("pos", by("pair_idx"))
-    own = rich.unionByName(poor).select(F.col("domain").alias("target"), F.col("domain").alias("donor"), "pair_idx", F.col("pos").cast("long"), "n")
+    by = lambda *o: F.row_number().over(Window.partitionBy("domain").orderBy(*o))
+    # The rank itself is cut, so Spark cuts it before the shuffle too.
+    rich = rows.where(F.col("n") >= budget).withColumn("rank", by(draw(seed, "domain", "pair_idx"), "pair_idx")).where(F.col("rank") <= budget)
+    poor = rows.where(F.col("n") < budget).withColumn("rank", by("pair_idx")).where(F.col("rank") <= budget)
+    own = rich.unionByName(poor).select(
+        F.col("domain").alias("target"), F.col("domain").alias("donor"), "pair_idx", (F.col("rank") - 1).cast("long").alias("pos"), "n"
+    )
     return own, n.where(F.col("n") < budget).withColumnRenamed("domain", "target")
 
 
@@ -72,10 +75,13 @@ def general(train: DataFrame, budget: int | None, seed: int = SEED) -> DataFrame
     targets = train.select(F.col("domain").alias("target")).distinct()
     pool = train.select(F.col("domain").alias("donor"), "pair_idx").crossJoin(small(targets))
     order = Window.partitionBy("target").orderBy(draw(seed, "target", "donor", "pair_idx"), "donor", "pair_idx")
-    ranked = pool.withColumn("pos", (F.row_number().over(order) - 1).cast("long"))
+    ranked = pool.withColumn("rank", F.row_number().over(order))
+    pos = (F.col("rank") - 1).cast("long")
     if budget is None or budget < 0:
-        return ranked.select("target", F.col("pos").alias("out_pos"), "donor", "pair_idx")
-    return oversample(ranked.where(F.col("pos") < budget), budget).select("target", "out_pos", "donor", "pair_idx")
+        return ranked.select("target", pos.alias("out_pos"), "donor", "pair_idx")
+    # The rank itself is cut, so Spark cuts it before the shuffle too.
+    few = ranked.where(F.col("rank") <= budget).withColumn("pos", pos).drop("rank")
+    return oversample(few, budget).select("target", "out_pos", "donor", "pair_idx")
 
 
 def nearest(train: DataFrame, budget: int, seed: int = SEED) -> DataFrame:

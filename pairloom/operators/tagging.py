@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairloom.functions.records import tag_token
@@ -19,6 +19,9 @@ PRODUCT_LABELS = ("NORP", "GPE", "LOC", "PERSON", "PRODUCT")
 NUMBER_LABELS = ("DATE", "QUANTITY", "TIME", "PERCENT", "MONEY")
 GENERAL_LABELS = ("PERSON", "ORG", "LOC", "PRODUCT", "DATE", "QUANTITY", "TIME")
 
+#: Tokens of a record's structure, by what they are labelled.
+STRUCTURE = {"HD": ("COL", "VAL"), "<SEP>": ("[CLS]", "[SEP]")}
+
 Recogniser = Callable[[list[str]], list[tuple[int, str]]]
 
 
@@ -27,6 +30,12 @@ def word_list(labels: dict[str, str]) -> Recogniser:
     return lambda tokens: [(i, labels[t]) for i, t in enumerate(tokens) if t in labels]
 
 
+def token_labels(text: Column) -> Column:
+    """HD, <SEP> or O for each token of a text split at single spaces."""
+    kind = lambda t: F.when(t.isin(*STRUCTURE["HD"]), "HD").when(t.isin(*STRUCTURE["<SEP>"]), "<SEP>").otherwise("O")
+    return F.transform(F.split(text, " ", -1), kind)
+
+
 def _marker(label: str, kind: str) -> str | None:
     if kind == "product":
         return "PRODUCT" if label in PRODUCT_LABELS else "NUM" if label in NUMBER_LABELS else None

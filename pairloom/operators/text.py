@@ -6,7 +6,7 @@ weight 0 and take length; the limit is per side. Ties in weight go to the first
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 TOKEN = r"[\p{L}\p{N}_]{2,}"
@@ -22,6 +22,19 @@ def idf(lines: DataFrame, fields: tuple[str, ...] = ("left", "right", "label"))
     return df.withColumn("idf", F.log((1 + F.lit(n)) / (1 + F.col("df"))) + 1)
 
 
+def shared(left: Column, right: Column) -> Column:
+    """The number of different lower-cased tokens in both texts."""
+    low = lambda c: F.split(F.lower(c), " ", -1)
+    return F.size(F.array_intersect(low(left), low(right))).cast("long")
+
+
+def frequency(text: Column) -> dict[str, Column]:
+    """heads (COL and VAL), tokens, and kinds of tokens of a text split at single spaces."""
+    t = F.split(text, " ", -1)
+    heads = F.filter(t, lambda x: x.isin(*HEADS))
+    return {"heads": F.size(heads).cast("long"), "tokens": F.size(t).cast("long"), "kinds": F.size(F.array_distinct(t)).cast("long")}
+
+
 def side_tokens(pairs: DataFrame) -> DataFrame:
     """pair_id, side, pos, token of both texts, split at single spaces."""
     sides = pairs.select("pair_id", F.posexplode(F.array("left", "right")).alias("side", "text"))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from pairloom.functions import vectors as V
 from pairloom.operators import pairs as P
+from pairloom.sources.tables import written
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,14 +24,14 @@ def singles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def raw_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """domain, pair_idx, split, l, r."""
-    return P.vector_pairs(singles(spark, sf_dir)).withColumn("split", P.split_of())
+    """domain, pair_idx, split, l, r. Numbering and pairing shuffle all vectors, so their result is written and read by each use."""
+    return written(P.vector_pairs(singles(spark, sf_dir)).withColumn("split", P.split_of()), "vector_pairs")
 
 
 def unit_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """domain, pair_idx, split, v: unit pair vectors."""
-    pairs = raw_pairs(spark, sf_dir)
-    return pairs.select("domain", "pair_idx", "split", V.unit_pair(F.col("l"), F.col("r")).alias("v"))
+    pairs = P.vector_pairs(singles(spark, sf_dir)).withColumn("split", P.split_of())
+    return written(pairs.select("domain", "pair_idx", "split", V.unit_pair(F.col("l"), F.col("r")).alias("v")), "unit_pairs")
 
 
 def part(pairs: DataFrame, split: str) -> DataFrame:

@@ -82,15 +82,12 @@ goal AS (SELECT domain AS target, {unit_sql('mean')} AS g FROM c)
 """
 
 
-@query("nn_distance", _NN + "SELECT target, domain AS donor, pair_idx, round(list_distance(v, g), 6) AS distance FROM train JOIN goal ON domain <> target QUALIFY row_number() OVER (PARTITION BY target ORDER BY round(list_distance(v, g), 9), domain, pair_idx) <= 10")
+@query("nn_distance", _NN + "SELECT target, domain AS donor, pair_idx, round(list_distance(v, g), 6) AS distance FROM train JOIN goal ON domain <> target")
 def nn_distance(spark, d):
-    from pyspark.sql import Window
-
     train = part(unit_pairs(spark, d), "train")
     goals = centroids(train).select(F.col("domain").alias("target"), "centroid")
-    rows = train.join(small(goals), F.col("domain") != F.col("target")).select("target", F.col("domain").alias("donor"), "pair_idx", V.distance(F.col("v"), F.col("centroid")).alias("x"))
-    best = Window.partitionBy("target").orderBy(F.round("x", 9), "donor", "pair_idx")
-    return rows.withColumn("k", F.row_number().over(best)).where("k <= 10").select("target", "donor", "pair_idx", r6("x").alias("distance"))
+    rows = train.join(small(goals), F.col("domain") != F.col("target"))
+    return rows.select("target", F.col("domain").alias("donor"), "pair_idx", r6(V.distance(F.col("v"), F.col("centroid"))).alias("distance"))
 
 
 @query("select_nn", _NN + ", " + fill_sql("SELECT target, domain AS donor, pair_idx, list_distance(v, g) AS score FROM train JOIN goal ON domain <> target", BUDGET))
@@ -133,17 +130,14 @@ gains AS (SELECT target, t.domain AS donor, t.pair_idx,
 """
 
 
-@query("centroid_gain", _gain_sql("val") + "SELECT target, donor, pair_idx, round(gain, 6) AS gain FROM gains QUALIFY row_number() OVER (PARTITION BY target ORDER BY round(-gain, 9), donor, pair_idx) <= 10")
+@query("centroid_gain", _gain_sql("val") + "SELECT target, donor, pair_idx, round(gain, 6) AS gain FROM gains")
 def centroid_gain(spark, d):
-    from pyspark.sql import Window
-
     pairs = unit_pairs(spark, d)
     train, goals = part(pairs, "train"), part(pairs, "val").groupBy("domain").agg(mean_vector("v").alias("goal"))
     state = train.groupBy("domain").agg(mean_vector("v").alias("mean"), F.count(F.lit(1)).alias("m")).join(goals, "domain").withColumnRenamed("domain", "target")
     rows = train.join(small(state), F.col("domain") != F.col("target"))
-    rows = rows.select("target", F.col("domain").alias("donor"), "pair_idx", selection.gain(F.col("v"), F.col("mean"), F.col("m"), F.col("goal")).alias("x"))
-    best = Window.partitionBy("target").orderBy(F.round(-F.col("x"), 9), "donor", "pair_idx")
-    return rows.withColumn("k", F.row_number().over(best)).where("k <= 10").select("target", "donor", "pair_idx", r6("x").alias("gain"))
+    gain = selection.gain(F.col("v"), F.col("mean"), F.col("m"), F.col("goal"))
+    return rows.select("target", F.col("domain").alias("donor"), "pair_idx", r6(gain).alias("gain"))
 
 
 def _shift(split: str):
@@ -304,14 +298,24 @@ WITH {PAIRS}, v AS (SELECT domain, pair_idx FROM up WHERE split = 'val'), n AS (
 SELECT n.domain AS target, v.domain, v.pair_idx FROM n JOIN v ON n.n < 6 OR v.domain = n.domain""")
 def pooled_valid(spark, d):
     """A domain with few validation rows takes all domains'."""
-    val = part(unit_pairs(spark, d), "val").select("domain", "pair_idx")
-    n = val.groupBy("domain").agg(F.count(F.lit(1)).alias("n")).withColumnRenamed("domain", "target")
-    own = val.join(n.where("n >= 6"), F.col("domain") == F.col("target"))
-    pooled = val.join(small(n.where("n < 6")), F.lit(True))
-    return own.unionByName(pooled).select("target", "domain", "pair_idx")
+    from pairloom.operators.datasets import pooled_validation
+
+    return pooled_validation(part(unit_pairs(spark, d), "val").select("domain", "pair_idx"), 6)
+
+
+def _sub(name: str, method: str) -> str:
+    return f"SELECT *, '{method}' AS method FROM ({ORACLES[name]})"
+
+
+@query("mix_encodings", f"WITH s AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings) SELECT a.vec_id, round(list_sum(list_transform(list_zip(a.v, b.v), lambda z: z[1] * 0.8 + z[2] * 0.2)), 6) AS total FROM s a JOIN s b ON b.vec_id = a.vec_id + 1")
+def mix_encodings(spark, d):
+    """An encoding joined with that of an augmented text (here: the next vector) by a share drawn once a batch."""
+    rows = table(spark, d, "embeddings").select("vec_id", V.doubles("embedding").alias("v"))
+    after = rows.select((F.col("vec_id") - 1).alias("vec_id"), F.col("v").alias("w"))
+    return rows.join(after, "vec_id").select("vec_id", r6(V.total(V.mixed(F.col("v"), F.col("w"), F.lit(0.8)))).alias("total"))
 
 
-@query("select_ensemble")
+@query("select_ensemble", f"WITH {PAIRS}, spec AS (WITH x AS (SELECT 1), {fill_sql(_NONE, BUDGET)}) SELECT *, 'spec' AS method FROM spec UNION ALL {_sub('select_nn', 'nn')} UNION ALL {_sub('select_mmd', 'tv_mmd')}")
 def select_ensemble(spark, d):
     """The training sets of an ensemble, one per method."""
     from pairloom.operators import methods

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pairloom.functions import records as R
-from pairloom.operators import augment, tagging, text
-from pairloom.plans.base import table
+from pairloom.operators import augment, datasets, selection, tagging, text
+from pairloom.operators.pairs import numbered, split_of
+from pairloom.plans.base import fill_sql, table
+from pairloom.sources.tables import written
 
 QUERIES, ORACLES = {}, {}
 
@@ -67,11 +69,35 @@ def record_flatten(spark, d):
     return _tagged(spark, d).select("p_partkey", R.flatten(F.col("record")).alias("flat"))
 
 
-@query("prompt_render", f"""WITH {PAIRS}, f AS (SELECT pair_id, replace(replace(replace(replace("left", 'COL name VAL ', 'name: '), ' COL brand VAL ', ', brand: '), ' COL type VAL ', ', type: '), ' COL size VAL ', ', size: ') AS l,
- replace(replace(replace(replace("right", 'COL name VAL ', 'name: '), ' COL brand VAL ', ', brand: '), ' COL type VAL ', ', type: '), ' COL size VAL ', ', size: ') AS r FROM pairs)
-SELECT pair_id, md5('You are an entity matching system.' || chr(10) || 'Question: Do the two entity descriptions refer to the same real-world entity?' || chr(10) || 'Answer with ''Yes'' if they do and ''No'' if they do not.' || chr(10) || chr(10) || 'Entity A:' || chr(10) || l || chr(10) || chr(10) || 'Entity B:' || chr(10) || r) AS prompt_md5 FROM f""")
+def _sql_text(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _filled(template: str, left: str, right: str) -> str:
+    """The template's text in SQL, with two expressions in its places."""
+    a, b, c = (_sql_text(t) for t in template.split("%s"))
+    return f"{a} || {left} || {b} || {right} || {c}"
+
+
+def _flat_sql(c: str) -> str:
+    for name in ("brand", "type", "size"):
+        c = f"replace({c}, ' COL {name} VAL ', ', {name}: ')"
+    return f"replace({c}, 'COL name VAL ', 'name: ')"
+
+
+@query("prompt_render", f"""WITH {PAIRS} SELECT pair_id, md5({_filled(R.PROMPT, '"left"', '"right"')}) AS prompt_md5,
+ md5({_filled(R.JELLYFISH_PROMPT, _flat_sql('"left"'), _flat_sql('"right"'))}) AS flat_md5 FROM pairs""")
 def prompt_render(spark, d):
-    return pairs(spark, d).select("pair_id", F.md5(R.prompt(F.col("left"), F.col("right"))).alias("prompt_md5"))
+    """The general prompt has the records as they are, the other model's has them flattened."""
+    shown = {n: F.md5(R.prompt(F.col("left"), F.col("right"), m)).alias(n) for n, m in (("prompt_md5", "gpt"), ("flat_md5", "a/Jellyfish-7B"))}
+    return pairs(spark, d).select("pair_id", *shown.values())
+
+
+@query("prompt_chat", f"""WITH {PAIRS}, m AS (SELECT pair_id, unnest([0, 1]) AS pos, unnest(['system', 'user']) AS role, unnest([{_sql_text(R.SYSTEM)}, {_filled(R.PROMPT, '"left"', '"right"')}]) AS content FROM pairs)
+SELECT pair_id, CAST(pos AS INT) AS pos, role, md5(content) AS content_md5 FROM m""")
+def prompt_chat(spark, d):
+    said = F.posexplode(R.chat(F.col("left"), F.col("right"))).alias("pos", "said")
+    return pairs(spark, d).select("pair_id", said).select("pair_id", "pos", "said.role", F.md5("said.content").alias("content_md5"))
 
 
 @query("yes_no_label", r"SELECT conv_id, turn, CAST(coalesce(regexp_matches(lower(trim(text)), '^\s*yes\b'), false) AS INT) AS yes FROM (SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN ' Yes, ' || text WHEN turn % 3 = 1 THEN text ELSE 'Yesterday ' || text END AS text FROM conversations)")
@@ -96,13 +122,13 @@ def number_normalize(spark, d):
 
 @query("token_tags", r"""
 WITH t AS (SELECT doc_id, unnest(string_split(text, ' ')) AS t, unnest(range(0, len(string_split(text, ' ')))) AS pos FROM documents WHERE text IS NOT NULL)
-SELECT doc_id, CAST(pos AS INT) AS pos, CASE WHEN regexp_matches(t, '^[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)$') THEN CASE WHEN CAST(t AS DOUBLE) = round(CAST(t AS DOUBLE)) THEN printf('%d', CAST(CAST(t AS DOUBLE) AS BIGINT)) ELSE printf('%.2f', CAST(t AS DOUBLE)) END
+SELECT doc_id, CAST(pos AS INT) AS pos, CASE WHEN regexp_matches(t, '^[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)$') THEN CASE WHEN abs(CAST(t AS DOUBLE)) >= 9223372036854775808 THEN t WHEN CAST(t AS DOUBLE) = round(CAST(t AS DOUBLE)) THEN printf('%d', CAST(CAST(t AS DOUBLE) AS BIGINT)) ELSE printf('%.2f', CAST(t AS DOUBLE)) END
        WHEN length(t) >= 7 THEN 'ID ' || t ELSE t END AS tagged
-FROM t WHERE regexp_matches(t, '[0-9]') AND length(t) < 12""")
+FROM t WHERE regexp_matches(t, '[0-9]')""")
 def token_tags(spark, d):
     """Tokens with a digit, tagged: number form and identifiers."""
     rows = table(spark, d, "documents").where("text IS NOT NULL")
-    t = rows.select("doc_id", F.posexplode(F.split("text", " ", -1)).alias("pos", "t")).where(F.col("t").rlike("[0-9]") & (F.length("t") < 12))
+    t = rows.select("doc_id", F.posexplode(F.split("text", " ", -1)).alias("pos", "t")).where(F.col("t").rlike("[0-9]"))
     return t.select("doc_id", "pos", R.tag_token(F.col("t")).alias("tagged"))
 
 
@@ -110,7 +136,7 @@ def token_tags(spark, d):
 def arity_filter(spark, d):
     k = F.col("p_partkey")
     line = F.when(k % 7 == 0, F.concat_ws("\t", "p_name", F.lit("1"))).when(k % 5 == 0, F.concat_ws("\t", "p_name", "p_brand", F.lit("x"), F.lit("1"))).otherwise(F.concat_ws("\t", "p_name", "p_brand", F.lit("0")))
-    n = F.size(F.split(line, "\t"))
+    n = R.arity(line)
     return table(spark, d, "part").select(k.alias("pair_id"), n.cast("int").alias("n"), (n > 2).cast("int").alias("lenient"), (n == 3).cast("int").alias("strict"))
 
 
@@ -137,10 +163,8 @@ def tfidf_pair_weight(spark, d):
 
 @query("token_frequency", _IDF + "SELECT pair_id, CAST(side AS INT) AS side, count(*) FILTER (token IN ('COL', 'VAL')) AS heads, count(*) AS tokens, count(DISTINCT token) AS kinds FROM tok GROUP BY pair_id, side")
 def token_frequency(spark, d):
-    t = F.split("text", " ", -1)
     sides = pairs(spark, d).select("pair_id", F.posexplode(F.array("left", "right")).alias("side", "text"))
-    heads = F.filter(t, lambda x: x.isin("COL", "VAL"))
-    return sides.select("pair_id", "side", F.size(heads).cast("long").alias("heads"), F.size(t).cast("long").alias("tokens"), F.size(F.array_distinct(t)).cast("long").alias("kinds"))
+    return sides.select("pair_id", "side", *[c.alias(k) for k, c in text.frequency(F.col("text")).items()])
 
 
 @query("summarize_pairs", _IDF + """,
@@ -160,15 +184,22 @@ def summarize_pairs(spark, d):
 
 @query("shared_tokens", f"""WITH {PAIRS} SELECT pair_id, len(list_intersect(list_distinct(string_split(lower("left"), ' ')), list_distinct(string_split(lower("right"), ' ')))) AS shared FROM pairs""")
 def shared_tokens(spark, d):
-    low = lambda c: F.split(F.lower(c), " ", -1)
-    return pairs(spark, d).select("pair_id", F.size(F.array_intersect(low("left"), low("right"))).cast("long").alias("shared"))
+    return pairs(spark, d).select("pair_id", text.shared(F.col("left"), F.col("right")).alias("shared"))
 
 
 #: An example of a synonym table; the operator takes any.
 SYNONYMS = {"Brand": ["Make"], "small": ["compact", "little"], "red": ["crimson", "scarlet"], "part": ["piece", "component"]}
 
 
-@query("synonym_paraphrase")
+def _paraphrase_sql(c: str) -> str:
+    table = "MAP {" + ", ".join(f"{_sql_text(k)}: [{', '.join(map(_sql_text, v))}]" for k, v in SYNONYMS.items()) + "}"
+    own = f"({table})[trim(w, '.,:-_()\"')]"
+    pick = f"CAST(CAST('0x' || substr(md5(concat_ws('|', '22', {c}, CAST(i - 1 AS VARCHAR))), 1, 6) AS INT) % len({own}) + 1 AS INT)"
+    words = f"list_filter(regexp_split_to_array({c}, '\\s+'), lambda w: w <> '')"
+    return f"array_to_string(list_transform({words}, lambda w, i: coalesce({own}[{pick}], w)), ' ')"
+
+
+@query("synonym_paraphrase", f"SELECT p_partkey, {_paraphrase_sql('p_name')} AS title FROM part")
 def synonym_paraphrase(spark, d):
     return table(spark, d, "part").select("p_partkey", augment.paraphrase(F.col("p_name"), SYNONYMS).alias("title"))
 
@@ -179,25 +210,90 @@ def aug_label_balance(spark, d):
     return augment.needed(pairs(spark, d), 300).select("domain", "n", "pos", F.col("need_pos").cast("long"), F.col("need_neg").cast("long"))
 
 
+_NEGATIVES = """t AS (SELECT DISTINCT domain, title FROM (SELECT domain, "left" AS title FROM pairs UNION ALL SELECT domain, "right" FROM pairs)),
+r AS (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY md5(concat_ws('|', '22', title)), title) AS i FROM t),
+x AS (SELECT a.domain, a.title AS "left", b.title AS "right", need_neg, a.i, b.i AS j FROM r a JOIN need USING (domain) JOIN r b ON b.domain = a.domain AND b.i > a.i WHERE need_neg > 0),
+f AS (SELECT * FROM x WHERE NOT EXISTS (SELECT 1 FROM pairs p WHERE p.domain = x.domain AND least(p."left", p."right") = least(x."left", x."right") AND greatest(p."left", p."right") = greatest(x."left", x."right"))),
+negs AS (SELECT domain, "left", "right" FROM f QUALIFY row_number() OVER (PARTITION BY domain ORDER BY j - i, i) <= need_neg)"""
+
+
 @query("aug_negatives", f"""WITH {PAIRS}, c AS (SELECT domain, count(*) AS n, sum(label) AS pos FROM pairs GROUP BY domain),
 need AS (SELECT domain, greatest(300 - floor(300 * (CAST(pos AS DOUBLE) / n)) - (n - pos), 0) AS need_neg FROM c),
-t AS (SELECT DISTINCT domain, title FROM (SELECT domain, "left" AS title FROM pairs UNION ALL SELECT domain, "right" FROM pairs)),
-r AS (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY md5(concat_ws('|', '22', title)), title) AS i FROM t),
-m AS (SELECT domain, max(i) AS m FROM r GROUP BY domain),
-z AS (SELECT domain, need_neg, least(ceil(4 * need_neg / m) + 1, m - 1) AS reach FROM need JOIN m USING (domain) WHERE need_neg > 0),
-x AS (SELECT a.domain, a.title AS "left", b.title AS "right", need_neg, a.i, b.i AS j FROM r a JOIN z USING (domain) JOIN r b ON b.domain = a.domain AND b.i > a.i AND b.i <= a.i + reach),
-f AS (SELECT * FROM x WHERE NOT EXISTS (SELECT 1 FROM pairs p WHERE p.domain = x.domain AND least(p."left", p."right") = least(x."left", x."right") AND greatest(p."left", p."right") = greatest(x."left", x."right")))
-SELECT domain, "left", "right" FROM f QUALIFY row_number() OVER (PARTITION BY domain ORDER BY j - i, i) <= need_neg""")
+{_NEGATIVES}
+SELECT domain, "left", "right" FROM negs""")
 def aug_negatives(spark, d):
     p = pairs(spark, d)
     return augment.negatives(p, augment.needed(p, 300))
 
 
-@query("select_aug")
+@query("select_aug", f"""WITH {PAIRS}, c AS (SELECT domain, count(*) AS n, sum(label) AS pos FROM pairs GROUP BY domain),
+need AS (SELECT domain, pos, greatest(floor(300 * (CAST(pos AS DOUBLE) / n)) - pos, 0) AS need_pos, greatest(300 - floor(300 * (CAST(pos AS DOUBLE) / n)) - (n - pos), 0) AS need_neg FROM c),
+{_NEGATIVES},
+p AS (SELECT domain, "left", "right", row_number() OVER (PARTITION BY domain ORDER BY md5(concat_ws('|', '22', "left", "right")), "left", "right") - 1 AS i FROM pairs WHERE label = 1),
+g AS (SELECT p.*, unnest(range(0, CAST(ceil((need_pos - i) / pos) AS BIGINT))) AS rep FROM p JOIN need USING (domain) WHERE need_pos > 0 AND i < need_pos),
+h AS (SELECT *, CAST('0x' || substr(md5(concat_ws('|', '22', "left", "right", CAST(rep AS VARCHAR))), 1, 1) AS INT) % 2 = 0 AS first FROM g)
+SELECT domain, "left", "right", label FROM pairs
+UNION ALL SELECT domain, CASE WHEN first THEN {_paraphrase_sql('"left"')} ELSE "left" END, CASE WHEN first THEN "right" ELSE {_paraphrase_sql('"right"')} END, 1 FROM h
+UNION ALL SELECT domain, "left", "right", 0 FROM negs""")
 def select_aug(spark, d):
     return augment.augmented(pairs(spark, d), 300, SYNONYMS)
 
 
+def domain_pairs(spark, d):
+    """domain, pair_idx, split, left, right, label: the pairs numbered in their domain."""
+    rows = numbered(pairs(spark, d), "domain", "pair_id").withColumnRenamed("idx", "pair_idx")
+    return written(rows.withColumn("split", split_of()).select("domain", "pair_idx", "split", "left", "right", "label"), "domain_pairs")
+
+
+_DOMAIN_PAIRS = """
+placed AS (SELECT domain, row_number() OVER (PARTITION BY domain ORDER BY pair_id) - 1 AS pair_idx, "left", "right", label FROM pairs),
+dp AS (SELECT *, CASE WHEN pair_idx % 5 <= 2 THEN 'train' WHEN pair_idx % 5 = 3 THEN 'val' ELSE 'test' END AS split FROM placed),
+train AS (SELECT * FROM dp WHERE split = 'train')"""
+
+
+@query("budgeted_dataset", f"""WITH {PAIRS}, {_DOMAIN_PAIRS}, sel AS (WITH x AS (SELECT 1), {fill_sql("SELECT '' AS target, '' AS donor, 0 AS pair_idx, 0.0 AS score WHERE false", 20)})
+SELECT target AS domain, 'train' AS split, CAST(out_pos AS BIGINT) AS pos, "left", "right", label FROM sel JOIN train ON domain = donor AND train.pair_idx = sel.pair_idx
+UNION ALL SELECT domain, split, CAST(pair_idx AS BIGINT), "left", "right", label FROM dp WHERE split <> 'train'""")
+def budgeted_dataset(spark, d):
+    """Selected keys become training rows with texts; validation and test rows are carried over."""
+    rows = domain_pairs(spark, d)
+    return datasets.budgeted(selection.spec(rows.where("split = 'train'"), 20), rows)
+
+
+def _ids(c):
+    """A stand-in for a tokenizer: an id per word, by its first character and length."""
+    return F.transform(F.split(c, " ", -1), lambda t: F.lit(1000) + F.ascii(t) * 50 + F.length(t))
+
+
+_IDS = lambda c: f"list_transform(string_split({c}, ' '), lambda t: 1000 + (CASE WHEN t = '' THEN 0 ELSE unicode(t) END) * 50 + length(t))"
+_ENCODED = f"""WITH {PAIRS}, e AS (SELECT pair_id, label, {_IDS('"left"')} AS a, {_IDS('"right"')} AS b FROM pairs),
+k AS (SELECT *, len(a) AS n, len(b) AS m, least(len(a), len(b), 8) AS s FROM e),
+w AS (SELECT *, CASE WHEN n + m <= 17 THEN n WHEN n <= m THEN s ELSE 17 - s END AS ka, CASE WHEN n + m <= 17 THEN m WHEN n <= m THEN 17 - s ELSE s END AS kb FROM k),
+enc AS (SELECT pair_id, label, [101] || a[1:ka] || [102] || b[1:kb] || [102] AS ids, [101] || a[1:6] || [102] AS one FROM w)"""
+
+
+def encoded(spark, d):
+    left, right = _ids("left"), _ids("right")
+    return pairs(spark, d).select("pair_id", "label", datasets.encode_pair(left, right, 20, [101], [102], [102]).alias("ids"), datasets.encode_single(left, 8, [101], [102]).alias("one"))
+
+
+def _shown(c):
+    return F.array_join(F.transform(c, lambda x: x.cast("string")), " ")
+
+
+@query("encode_pairs", _ENCODED + " SELECT pair_id, label, array_to_string(ids, ' ') AS ids, array_to_string(one, ' ') AS one FROM enc")
+def encode_pairs(spark, d):
+    return encoded(spark, d).select("pair_id", "label", _shown("ids").alias("ids"), _shown("one").alias("one"))
+
+
+@query("pad_batch", _ENCODED + """, z AS (SELECT *, max(len(ids)) OVER (PARTITION BY pair_id // 8) AS size FROM enc)
+SELECT pair_id, array_to_string(list_resize(ids, size, 0), ' ') AS ids, array_to_string(list_resize(one, greatest(size, len(one)), 0), ' ') AS one, CAST(size AS INT) AS size FROM z""")
+def pad_batch(spark, d):
+    rows = encoded(spark, d).withColumn("batch", F.expr("pair_id div 8"))
+    out = datasets.pad_batch(rows, "batch", ["ids", "one"], ["ids"])
+    return out.select("pair_id", _shown("ids").alias("ids"), _shown("one").alias("one"), F.size("ids").alias("size"))
+
+
 def _sentences(spark, d):
     return pairs(spark, d).select("pair_id", F.concat_ws(" [SEP] ", "left", "right").alias("text"))
 
@@ -213,7 +309,7 @@ for _op in augment.OPS:
 @query("token_labels", f"""WITH {PAIRS}, t AS (SELECT pair_id, unnest(string_split("left" || ' [SEP] ' || "right", ' ')) AS token FROM pairs)
 SELECT pair_id, count(*) FILTER (token IN ('COL', 'VAL')) AS hd, count(*) FILTER (token IN ('[CLS]', '[SEP]')) AS sep, count(*) FILTER (token NOT IN ('COL', 'VAL', '[CLS]', '[SEP]')) AS o FROM t GROUP BY pair_id""")
 def token_labels(spark, d):
-    kinds = F.transform(F.split("text", " ", -1), lambda t: F.when(t.isin("COL", "VAL"), "HD").when(t.isin("[CLS]", "[SEP]"), "<SEP>").otherwise("O"))
+    kinds = tagging.token_labels(F.col("text"))
     n = lambda k: F.size(F.filter(F.col("k"), lambda x: x == k)).cast("long")
     return _sentences(spark, d).select("pair_id", kinds.alias("k")).select("pair_id", n("HD").alias("hd"), n("<SEP>").alias("sep"), n("O").alias("o"))
 

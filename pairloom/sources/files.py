@@ -2,17 +2,33 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _NAME = r"([^/]*)_(train|val|test)\.txt$"
 
 
+#: What str.strip() takes away, without the Unicode spaces beyond ASCII.
+_SPACE = r"[ \t-\r\x1c-\x1f]"
+
+
+def strip(line) -> Column:
+    return F.regexp_replace(line, f"^{_SPACE}+|{_SPACE}+$", "")
+
+
 def lines(spark: SparkSession, path: str, glob: str = "*.txt") -> DataFrame:
-    """file, line_no, line of text files that fit in memory one by one, as pair files and logs do."""
-    files = spark.read.option("pathGlobFilter", glob).text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("file"))
-    rows = files.select("file", F.posexplode(F.split("value", "\n")).alias("line_no", "line"))
-    return rows.where(F.col("line") != "").select("file", "line_no", F.rtrim(F.regexp_replace("line", "\r$", "")).alias("line"))
+    """file, line_no, line (without white space at its end) of text files of any size; empty lines count but don't come.
+
+    Files are read in parts. A line's number is its place in its part and the lines of the parts before, which are
+    counted in a scan of their own: no task needs a whole file.
+    """
+    rows = spark.read.option("pathGlobFilter", glob).option("lineSep", "\n").text(path)
+    rows = rows.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_id"))
+    parts = rows.groupBy("file", "_block").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy("file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1))
+    starts = parts.select("file", "_block", (F.coalesce(before, F.lit(0)) - F.col("_first")).alias("_shift"))
+    numbered = rows.join(starts, ["file", "_block"]).where(F.regexp_replace("value", "\r$", "") != "")
+    return numbered.select("file", (F.col("_id") + F.col("_shift")).cast("int").alias("line_no"), F.regexp_replace("value", f"{_SPACE}+$", "").alias("line"))
 
 
 def domain_scan(spark: SparkSession, path: str) -> DataFrame:
@@ -33,7 +49,7 @@ def lenient_pairs(rows: DataFrame, limit: int = 0) -> DataFrame:
 
 def strict_pairs(rows: DataFrame, size: int | None = None) -> DataFrame:
     """Rows of exactly three fields; another number is an error."""
-    p = F.split(F.trim("line"), "\t")
+    p = F.split(strip("line"), "\t", -1)
     fine = F.when(F.size(p) == 3, p).otherwise(F.raise_error(F.concat(F.lit("not three fields: "), F.col("line"))).cast("array<string>"))
     out = rows.withColumn("_p", fine).withColumn("left", F.col("_p")[0]).withColumn("right", F.col("_p")[1]).withColumn("label", F.col("_p")[2].cast("int")).drop("_p", "line")
     return out.where(F.col("line_no") < size) if size is not None else out
@@ -41,13 +57,14 @@ def strict_pairs(rows: DataFrame, size: int | None = None) -> DataFrame:
 
 def singletons(rows: DataFrame, size: int | None = None) -> DataFrame:
     """One record a line, label 0."""
-    out = rows.select("file", "line_no", F.trim("line").alias("text"), F.lit(0).alias("label"))
+    out = rows.select("file", "line_no", strip("line").alias("text"), F.lit(0).alias("label"))
     return out.where(F.col("line_no") < size) if size is not None else out
 
 
 def test_files(spark: SparkSession, path: str) -> DataFrame:
-    """The sorted test files."""
-    return lines(spark, path, "*_test.txt").select("file").distinct().orderBy("file")
+    """The sorted test files; their contents are not read."""
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "*_test.txt").load(path)
+    return found.select(F.col("path").alias("file")).orderBy("file")
 
 
 def write_pair_json(pairs: DataFrame, path: str) -> None:
@@ -87,6 +104,12 @@ def append_metrics(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").parquet(path)
 
 
+def append_runtime(spark: SparkSession, run_tag: str, seconds: float, path: str) -> None:
+    """A line "run_tag seconds" of the log of run times."""
+    line = F.format_string("%s %f", F.lit(run_tag), F.lit(float(seconds)))
+    spark.range(1).select(line.alias("value")).coalesce(1).write.mode("append").text(path)
+
+
 def append_best(rows: DataFrame, path: str) -> None:
     """task, budget, best_method."""
     rows.select("task", "budget", "best_method").write.mode("append").csv(path)
@@ -117,8 +140,9 @@ def parse_zero_shot_log(rows: DataFrame) -> DataFrame:
 
 
 def report(means: DataFrame, spread: bool = True) -> DataFrame:
-    """One line a budget, domain and metric, sorted; nan where a value is missing."""
-    shown = F.coalesce(F.format_string("%.4f", F.col("mean")), F.lit("nan"))
+    """One line a budget, domain and metric, sorted; nan where a value is missing. Values are rounded to 9 digits first, so the order of a sum doesn't show."""
+    means = means.withColumns({c: F.round(c, 9) for c in ("mean", "std") if c in means.columns})
+    shown = F.when(F.col("mean").isNull(), "nan").otherwise(F.format_string("%.4f", F.col("mean")))
     line = F.concat_ws(" ", "domain", F.concat("metric", F.lit(":")), shown)
     line = F.concat(line, F.when(F.col("std").isNotNull(), F.format_string(" ± %.4f", F.col("std"))).otherwise("")) if spread else line
     return means.orderBy("budget", "domain", "metric").select("budget", line.alias("line"))
