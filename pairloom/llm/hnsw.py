@@ -266,6 +266,8 @@ def index(pts: DataFrame, shard: int = SHARD, least: int = LEAST, m: int = M, ef
     shards = F.greatest(F.ceil(F.col("n") / shard), F.least(F.lit(parts), F.ceil(F.col("n") / least)))
     dims = dims.select("dim", shards.cast("long").alias("shards"), F.floor(F.log2("largest")).cast("long").alias("scale"))
     dims = materialize(dims, "dims")
+    # A task a shard: shards take long to build and are of like size.
+    tasks = dims.agg(F.sum("shards")).first()[0] or 1
     dealt = pts.join(dims, F.size("v") == F.col("dim")).withColumn("shard", F.pmod(F.xxhash64("v"), F.col("shards")))
 
     def make(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
@@ -277,6 +279,7 @@ def index(pts: DataFrame, shard: int = SHARD, least: int = LEAST, m: int = M, ef
         store.write_file(uri, stored(build(x, m, ef), [[int(i) for i in rows["ids"].iloc[o]] for o in order]))
         return pd.DataFrame({"dim": [dim], "shard": [part], "shards": [int(rows["shards"].iloc[0])], "scale": [int(rows["scale"].iloc[0])], "path": [uri]})
 
+    dealt = dealt.repartitionByRange(tasks, "dim", "shard")
     return materialize(dealt.groupBy("dim", "shard").applyInPandas(make, "dim int, shard long, shards long, scale long, path string"), "hnsw_shards")
 
 
