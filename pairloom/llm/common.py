@@ -19,6 +19,8 @@ SPACE = r"[\x20\x09-\x0D]"
 BROADCAST_BYTES = 8 << 20
 #: Bytes of a batch of rows on its way to a Python worker; a longer row is a batch of its own.
 BATCH_BYTES = 4 << 20
+#: Rows of one key that a join leaves together.
+SPLIT = 1_000_000
 
 _BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 
@@ -74,6 +76,24 @@ def bounded_broadcast(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTE
     return F.broadcast(df) if df.count() * row_bytes <= limit else df
 
 
+def split_join(many: DataFrame, one: DataFrame, key: str, rows: str, by: str, limit: int | None = None) -> DataFrame:
+    """many joined with one on key, where a key of `one` (one row each, with column `rows`: how often it is in many) can be
+    very common: beyond `limit` rows its rows are dealt by the hash of `by` to as many copies as it takes. Null keys match.
+
+    Give it a written table `one`. The keys to be split are total / limit at most.
+    """
+    limit = limit or SPLIT
+    hot = one.where(F.col(rows) > limit).select(F.col(key).alias("_hot"), F.ceil(F.col(rows) / limit).cast("int").alias("_copies"))
+    n = hot.count()
+    if not n:
+        return many.join(one.withColumnRenamed(key, "_one"), F.col(key).eqNullSafe(F.col("_one"))).drop("_one")
+    hot = F.broadcast(hot) if n * 256 <= BROADCAST_BYTES else hot
+    copies = F.coalesce("_copies", F.lit(1))
+    dealt = many.join(hot, F.col(key).eqNullSafe(F.col("_hot")), "left").withColumn("_copy", F.pmod(F.xxhash64(by), copies).cast("int")).drop("_hot", "_copies")
+    each = one.withColumnRenamed(key, "_one").withColumn("_part", F.explode(F.sequence(F.lit(0), F.ceil(F.greatest(F.col(rows), F.lit(1)) / limit).cast("int") - 1)))
+    return dealt.join(each, F.col(key).eqNullSafe(F.col("_one")) & (F.col("_copy") == F.col("_part"))).drop("_one", "_copy", "_part")
+
+
 def ship(spark: SparkSession) -> None:
     """Prepares the session for Python workers: batches are bounded in bytes, as texts have any length, and this package can be imported where PYTHONPATH doesn't have it already."""
     if spark.conf.get(_BATCH_SETTING) == "67108864b":  # Spark's default: nobody chose another bound

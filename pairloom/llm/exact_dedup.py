@@ -18,7 +18,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairloom.llm.common import SPACE, bounded_broadcast, documents, materialize, one_row_each, shared_path, text_or_empty, unused
+from pairloom.llm.common import SPACE, bounded_broadcast, documents, materialize, one_row_each, shared_path, split_join, text_or_empty, unused
 
 #: Least buckets of an index; digests a bucket should hold; how much an index is expected to grow; files a bucket before it is written anew.
 BUCKETS = 32
@@ -142,8 +142,7 @@ def deduplicate(docs: DataFrame, index: DigestIndex) -> DataFrame:
         "digest_keeps",
     )
     return (
-        per_doc.select("digest", "doc_id", "copies")
-        .join(resolved, "digest")
+        split_join(per_doc.select("digest", "doc_id", "copies"), resolved, "digest", "group_size", "doc_id")
         .select("doc_id", "digest", "keep_id", "group_size", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
         .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("copy") == 1))
         .drop("copy")

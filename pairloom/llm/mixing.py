@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairloom.llm.common import BROADCAST_BYTES, documents, materialize, ranked_ranges, ship, text_or_empty, unused
+from pairloom.llm.common import BROADCAST_BYTES, documents, materialize, ranked_ranges, ship, split_join, text_or_empty, unused
 
 WEIGHTS = (1.0, 2.0, 3.0)
 CAP = 3
@@ -146,11 +146,14 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: int = CAP, p
     sums = bins.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"), F.sum("units").alias("_docs"))
     goals = materialize(targets(source_weights(sums, weights), cap), "targets")
     table = newton(goals, bins.select("source", "size", "n"), cap)
-    own = table.select(F.col("source").alias("_s"), "source_size", "target", "l", "flat", "_docs")
-    own = F.broadcast(own) if own.count() * 128 <= BROADCAST_BYTES else own
-    joined = units.join(own, F.col("source").eqNullSafe(F.col("_s"))).withColumn(
+    own = materialize(table.select("source", "source_size", "target", "l", "flat", "_docs"), "duals")
+    if own.count() * 128 <= BROADCAST_BYTES:
+        joined = units.join(F.broadcast(own.withColumnRenamed("source", "_s")), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
+    else:
+        joined = split_join(units, own, "source", "_docs", "doc_id")
+    joined = joined.withColumn(
         "rate", F.when(F.col("size") == 0, 1.0).otherwise(F.coalesce("flat", _rate(cap)))
-    ).drop("_s", "l", "flat")
+    ).drop("l", "flat")
     keyed = joined.withColumn(
         "_piece", F.xxhash64("source", F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("_docs") / F.lit(float(piece)))))
     ).drop("_docs")

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairloom.llm.common import bounded_broadcast, documents, materialize, one_row_each, ship, slices, unused
+from pairloom.llm.common import bounded_broadcast, documents, materialize, one_row_each, ship, slices, split_join, unused
 from pairloom.llm.components import connected_components
 
 SHINGLE = 3
@@ -219,13 +219,13 @@ def links(fps: DataFrame, group: int = GROUP) -> DataFrame:
 def components(docs: DataFrame, shingle: int = SHINGLE, group: int = GROUP) -> DataFrame:
     """doc_id, text_hash, fp, component_id for each row of docs."""
     prints = materialize(fingerprints(docs, shingle), "fingerprints")
-    distinct = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "fps")
+    distinct = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least_id"), F.count(F.lit(1)).alias("n")), "fps")
     labels = connected_components(links(distinct.select("fp"), group))
-    named = distinct.join(labels, distinct["fp"] == labels["node"], "left").select("fp", "least_id", F.coalesce("label", "fp").alias("label"))
+    named = distinct.join(labels, distinct["fp"] == labels["node"], "left").select("fp", "n", "least_id", F.coalesce("label", "fp").alias("label"))
     named = materialize(named, "fp_labels")
     least = named.groupBy("label").agg(F.min("least_id").alias("component_id"))
-    table = materialize(named.join(least, "label").select("fp", "component_id"), "fp_components")
-    return prints.join(table, "fp").select("doc_id", "text_hash", "fp", "component_id")
+    table = materialize(named.join(least, "label").select("fp", "n", "component_id"), "fp_components")
+    return split_join(prints, table, "fp", "n", "doc_id").select("doc_id", "text_hash", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, **how) -> DataFrame:

@@ -18,7 +18,7 @@ from collections.abc import Iterator
 from sys import getsizeof
 
 #: Bytes that the memo of one process holds, in two generations.
-MEMO = 96 << 20
+MEMO = 128 << 20
 #: Characters of a long text that are worked on at once.
 PART = 1 << 20
 #: Marks, by hash, of words that came once; only what comes again is kept, as most different words come once.

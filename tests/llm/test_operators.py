@@ -748,6 +748,27 @@ def test_empty_tables(spark):
     assert quality.score(none, quality.fit([])).count() == 0
 
 
+@pytest.mark.parametrize("limit", [1, 3, 10**6])
+def test_split_join(spark, limit):
+    rows = [(k, ["a", "a", "a", None, "b"][k % 5]) for k in range(50)] + [(None, "a"), (7, "a"), (7, "a"), (1, "alone")]
+    many = spark.createDataFrame(rows, "doc_id long, key string")
+    one = spark.createDataFrame([("a", 33, 1.0), (None, 10, 2.0), ("b", 10, 3.0), ("c", 0, 4.0)], "key string, n long, x double")
+    got = sorted((str(r["doc_id"]), str(r["key"]), r["x"]) for r in common.split_join(many, one, "key", "n", "doc_id", limit).collect())
+    assert got == sorted((str(i), str(k), {"a": 1.0, None: 2.0, "b": 3.0}[k]) for i, k in rows if k != "alone")
+
+
+def test_hot_groups_are_split(spark, monkeypatch):
+    """Results with every group split are those without."""
+    shown = lambda df: sorted(map(str, df.collect()))
+    runs = []
+    for limit in (common.SPLIT, 2):
+        monkeypatch.setattr(common, "SPLIT", limit)
+        monkeypatch.setattr(mixing, "BROADCAST_BYTES", 0 if limit == 2 else 8 << 20)
+        table = docs(spark, mess())
+        runs.append((shown(exact_dedup.deduplicate(table, exact_dedup.new_index(table))), shown(simhash.components(table)), shown(mixing.mix(table))))
+    assert runs[0] == runs[1]
+
+
 def test_op_queries_and_pipeline(spark, tmp_path):
     """Each opN_ query has its columns and a row per row; each stage of the pipeline does what it says with the stage's own input."""
     import corpus_pipeline
