@@ -291,3 +291,144 @@ def test_method_names(name, parsed):
         methods.parse("other")
     assert methods.ensemble("kcg-tv") == ["kcg", "tv"]
     assert methods.run_tag("wdc/x", lm="a/b", da="del") == "wdc_x_lm=a_b_da=del"
+
+
+def test_prompts(spark):
+    left, right = F.lit('COL title VAL  "A b"@en'), F.lit("COL title VAL {y}")
+    plain = one(spark, R.prompt(left, right, "gpt-4"))
+    assert 'Entity A:\nCOL title VAL  "A b"@en\n\nEntity B:\nCOL title VAL {y}' in plain
+    flat = one(spark, R.prompt(left, right, "org/Jellyfish-13B"))
+    assert "Record A: [title: A b]\nRecord B: [title: {y}]" in flat
+    chat = [tuple(m) for m in one(spark, R.chat(left, right))]
+    assert chat == [("system", "You are an entity matching system."), ("user", plain)]
+
+
+def test_unicode_space(spark):
+    got = one(spark, R.parse(F.lit("COL a VAL x\u00a0 y COL\u00a0b VAL z")))
+    assert [tuple(r) for r in got] == [("a", "x y"), ("b", "z")]
+
+
+@pytest.mark.parametrize(("n", "m", "room", "kept"), [(3, 4, 9, (3, 4)), (10, 2, 9, (7, 2)), (2, 10, 9, (2, 7)), (10, 10, 9, (4, 5)), (10, 9, 9, (5, 4)), (9, 10, 8, (4, 4)), (5, 5, 0, (0, 0)), (0, 20, 6, (0, 6))])
+def test_encode_pair(spark, n, m, room, kept):
+    from pairloom.operators import datasets
+
+    ids = lambda k, start: F.array(*[F.lit(start + i) for i in range(k)]).cast("array<int>")
+    got = one(spark, datasets.encode_pair(ids(n, 100), ids(m, 200), room + 4, [1], [2, 2], [3]))
+    assert got == [1, *range(100, 100 + kept[0]), 2, 2, *range(200, 200 + kept[1]), 3]
+    assert one(spark, datasets.encode_single(ids(n, 100), room + 2, [1], [3])) == [1, *range(100, 100 + min(n, room)), 3]
+
+
+def test_pad_batch(spark):
+    from pairloom.operators import datasets
+
+    rows = spark.createDataFrame([(1, 0, [1, 2], [9]), (2, 0, [3], [7, 7, 7]), (3, 1, [], [])], "k int, b int, x array<int>, y array<int>")
+    got = {r["k"]: (r["x"], r["y"]) for r in datasets.pad_batch(rows, "b", ["x", "y"]).collect()}
+    assert got == {1: ([1, 2, 0], [9, 0, 0]), 2: ([3, 0, 0], [7, 7, 7]), 3: ([], [])}
+    got = {r["k"]: (r["x"], r["y"]) for r in datasets.pad_batch(rows, "b", ["x", "y"], ["x"], 5).collect()}
+    assert got == {1: ([1, 2], [9, 5]), 2: ([3, 5], [7, 7, 7]), 3: ([], [])}
+
+
+def text_pairs(spark):
+    rows = [(d, i, s, f"{d}{i}l", f"{d}{i}r", i % 2) for d in "ab" for i, s in enumerate(["train", "train", "train", "val", "test"])]
+    return spark.createDataFrame(rows, "domain string, pair_idx long, split string, left string, right string, label int")
+
+
+def test_budgeted_dataset(spark, tmp_path):
+    from pairloom.operators import datasets
+
+    pairs_ = text_pairs(spark)
+    chosen = selection.spec(pairs_.where("split = 'train'"), 4)
+    out = datasets.budgeted(chosen, pairs_, ["a"])
+    files.write_pair_text(out, str(tmp_path / "set"))
+    assert out.where("domain <> 'a'").count() == 0 and out.where("split = 'train'").count() == 4
+    back = spark.read.text(str(tmp_path / "set" / "domain=a" / "split=val"))
+    assert [r["value"] for r in back.collect()] == ["a3l\ta3r\t1"]
+    files.write_budgeted(datasets.budgeted(chosen, pairs_), str(tmp_path / "all"))
+    again = spark.read.parquet(str(tmp_path / "all"))
+    assert {(r["domain"], r["split"], r["n"]) for r in again.groupBy("domain", "split").agg(F.count(F.lit(1)).alias("n")).collect()} == {(d, s, n) for d in "ab" for s, n in (("train", 4), ("val", 1), ("test", 1))}
+
+
+def test_pooled_validation(spark):
+    from pairloom.operators import datasets
+
+    val = spark.createDataFrame([("a", 0), ("a", 1), ("b", 0)], "domain string, pair_idx long")
+    got = sorted((r["target"], r["domain"], r["pair_idx"]) for r in datasets.pooled_validation(val, 2).collect())
+    assert got == [("a", "a", 0), ("a", "a", 1), ("b", "a", 0), ("b", "a", 1), ("b", "b", 0)]
+
+
+def test_losses(spark):
+    rows = spark.createDataFrame([(0.5, 0.6, 1), (0.5, -0.2, 0), (0.5, 0.4, 0)], "p double, c double, y int")
+    got = rows.agg(*[v.alias(k) for k, v in metrics.losses(F.col("p"), F.col("c"), F.col("y"), 0.5).items()]).first()
+    assert got["cross_entropy"] == got["pairwise"] == pytest.approx(math.log(2))
+    assert got["cosine_loss"] == got["late_fusion"] == pytest.approx(0.4 + 0.2)
+    assert got["dual"] == pytest.approx(math.log(2) + 0.3)
+    assert one(spark, R.confidence(F.lit(0.2), F.lit(0), late_fusion=True)) == 0.2
+
+
+def test_saved_models(spark, tmp_path):
+    from pairloom.operators import matcher
+
+    rows = matcher.features(spark.createDataFrame([("a b", "a b", 1), ("a b", "c", 0), ("x", "x y", 1), ("q", "r s", 0)], "left string, right string, label int"))
+    model, at = matcher.train(rows), str(tmp_path / "m")
+    with pytest.raises(FileNotFoundError, match="no saved model"):
+        matcher.load(at)
+    assert matcher.save(model, at, "dual", 1000, 0.8)
+    assert not matcher.save(model, at, "pairwise", 2000, 0.7, keep_lower=True)
+    again, settings = matcher.load(at)
+    assert settings == {"kind": "dual", "budget": 1000, "f1": 0.8, "scores": ("pair", "single")}
+    assert again.coefficients == model.coefficients
+    assert matcher.save(model, at, "pairwise", 2000, 0.9, keep_lower=True) and matcher.load(at)[1]["scores"] == ("pair",)
+    with pytest.raises(ValueError):
+        matcher.save(model, at, "other", 1, 0.0)
+
+
+def test_synonym_tables():
+    maps = {"wdc": {"a": ["b"]}, "x": {}}
+    assert augment.synonyms_for("my_wdc_cars", maps) == {"a": ["b"]}
+    assert augment.synonyms_for("other", maps) is None
+
+
+def test_lines_of_large_files(spark, tmp_path):
+    """Numbers are places in the whole file however it is split; empty lines count; both kinds of line ends."""
+    body = "".join(f"l{i}\tr{i}\t{i % 2}" + ("\r\n" if i % 3 else "\n") + ("\n" if i % 7 == 0 else "") for i in range(500))
+    (tmp_path / "d_test.txt").write_bytes(body.encode())
+    (tmp_path / "e_test.txt").write_text("only one")
+    want = [(i, x.rstrip()) for i, x in enumerate(body.split("\n")) if x.rstrip()]
+    for size in ("128MB", "100b"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            rows = files.lines(spark, str(tmp_path), "d*.txt")
+            assert sorted((r["line_no"], r["line"]) for r in rows.collect()) == want
+            assert [r["line_no"] for r in files.lines(spark, str(tmp_path), "e*.txt").collect()] == [0]
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert [r["file"].rsplit("/", 1)[-1] for r in files.test_files(spark, str(tmp_path)).collect()] == ["d_test.txt", "e_test.txt"]
+    one_line = files.singletons(spark.createDataFrame([("f", 0, " x\t")], "file string, line_no int, line string")).first()
+    assert (one_line["text"], one_line["label"]) == ("x", 0)
+
+
+def test_sinks(spark, tmp_path):
+    rows = spark.createDataFrame([("l", "r", 1, 0.9, "extra")], "left string, right string, match int, match_confidence double, more string")
+    files.write_predictions(rows, str(tmp_path / "p"))
+    assert spark.read.json(str(tmp_path / "p")).columns == ["left", "match", "match_confidence", "right"]
+    for k in range(2):
+        files.append_runtime(spark, f"task_{k}", 1.5 + k, str(tmp_path / "log"))
+        files.append_metrics(spark.createDataFrame([(k, 0.5)], "run int, f1 double"), str(tmp_path / "metrics"))
+        files.append_best(spark.createDataFrame([("t", 100, "nn")], "task string, budget int, best_method string"), str(tmp_path / "best"))
+    assert sorted(r["value"] for r in spark.read.text(str(tmp_path / "log")).collect()) == ["task_0 1.500000", "task_1 2.500000"]
+    assert spark.read.parquet(str(tmp_path / "metrics")).count() == spark.read.csv(str(tmp_path / "best")).count() == 2
+    (tmp_path / "c.json").write_text('[{"name": "x", "vocab": ["0", "1"]}, {"name": "y", "vocab": []}]')
+    assert files.read_catalog(spark, str(tmp_path / "c.json"))["x"]["vocab"] == ["0", "1"]
+    shown = files.report(spark.createDataFrame([(1, "d", "f1", 0.5, 0.1), (1, "e", "f1", None, None)], "budget int, domain string, metric string, mean double, std double"))
+    assert [r["line"] for r in shown.collect()] == ["d f1: 0.5000 ± 0.1000", "e f1: nan"]
+
+
+def test_negatives_reach_further(spark):
+    """Nearly all near pairs are known already, so the first tries don't bring enough."""
+    titles = [f"t{i:02d}" for i in range(24)]
+    order = [r["t"] for r in spark.createDataFrame([(t,) for t in titles], "t string").orderBy(F.md5(F.concat_ws("|", F.lit("22"), "t"))).collect()]
+    rows = [("d", order[i], order[j], 0) for i in range(24) for j in range(i + 1, min(i + 9, 24))]
+    table = spark.createDataFrame(rows, "domain string, left string, right string, label int")
+    out = augment.negatives(table, augment.needed(table, len(rows) + 20), tries=1).collect()
+    assert len(out) == 20
+    assert [order.index(r["right"]) - order.index(r["left"]) for r in sorted(out, key=lambda r: order.index(r["right"]) - order.index(r["left"]))][:15] == [9] * 15
