@@ -9,17 +9,41 @@ import pandas as pd
 
 #: Bandwidth of the one-dimensional density.
 H = 0.5
+#: Numbers of a block of a kernel matrix.
+CELLS = 4 << 20
 
 
 def log_density(x: np.ndarray, data: np.ndarray, h: float = H) -> np.ndarray:
-    """Log of the Gaussian kernel density of each column of data at x (points by dimensions), dimension by dimension."""
-    z = -((x[:, None, :] - data[None, :, :]) ** 2) / (2 * h * h)
-    top = z.max(axis=1, keepdims=True)
-    return np.log(np.exp(z - top).sum(axis=1)) + top[:, 0, :] - np.log(len(data) * h * np.sqrt(2 * np.pi))
+    """Log of the Gaussian kernel density of each column of data at x (points by dimensions), dimension by dimension, in blocks of both."""
+    out = np.empty(x.shape)
+    rows, cols = 64, max(1, CELLS // (64 * x.shape[1]))
+    for i in range(0, len(x), rows):
+        own = x[i : i + rows, None, :]
+        top, total = np.full((own.shape[0], x.shape[1]), -np.inf), np.zeros((own.shape[0], x.shape[1]))
+        for j in range(0, len(data), cols):
+            z = -((own - data[None, j : j + cols, :]) ** 2) / (2 * h * h)
+            higher = np.maximum(top, z.max(axis=1))
+            total = total * np.exp(top - higher) + np.exp(z - higher[:, None, :]).sum(axis=1)
+            top = higher
+        out[i : i + rows] = np.log(total) + top
+    return out - np.log(len(data) * h * np.sqrt(2 * np.pi))
+
+
+def rbf_rows(x: np.ndarray, y: np.ndarray, gamma: float) -> np.ndarray:
+    """For each x the sum of the kernel over y, in blocks."""
+    out = np.zeros(len(x))
+    rows = max(1, CELLS // max(1, len(y)))
+    for i in range(0, len(x), rows):
+        out[i : i + rows] = np.exp(-gamma * _squares(x[i : i + rows], y)).sum(axis=1)
+    return out
+
+
+def rbf_sum(x: np.ndarray, y: np.ndarray, gamma: float) -> float:
+    return float(rbf_rows(x, y, gamma).sum())
 
 
 def rbf_mean(x: np.ndarray, y: np.ndarray, gamma: float) -> float:
-    return float(np.exp(-gamma * _squares(x, y)).mean())
+    return rbf_sum(x, y, gamma) / (len(x) * len(y))
 
 
 def _squares(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -65,13 +89,12 @@ def mmd_gain(own: tuple, goal: tuple, cand: tuple) -> np.ndarray:
     data = (goal[0] + goal[1]) / 2
     train = np.concatenate(own)
     g, n, m = 1 / data.shape[1], len(train), len(data)
-    kernel = lambda a, b: np.exp(-g * _squares(a, b))
-    xx, xy, yy = kernel(train, train).sum(), kernel(train, data).sum(), kernel(data, data).mean()
+    xx, xy, yy = rbf_sum(train, train, g), rbf_sum(train, data, g), rbf_mean(data, data, g)
     before = xx / n**2 + yy - 2 * xy / (n * m)
     a, b = cand
     across = np.exp(-g * np.maximum(((a - b) ** 2).sum(1), 0))
-    new_xx = xx + 2 * (kernel(a, train).sum(1) + kernel(b, train).sum(1)) + 2 + 2 * across
-    new_xy = xy + kernel(a, data).sum(1) + kernel(b, data).sum(1)
+    new_xx = xx + 2 * (rbf_rows(a, train, g) + rbf_rows(b, train, g)) + 2 + 2 * across
+    new_xy = xy + rbf_rows(a, data, g) + rbf_rows(b, data, g)
     return before - (new_xx / (n + 2) ** 2 + yy - 2 * new_xy / ((n + 2) * m))
 
 
@@ -90,9 +113,13 @@ def kde2d_density(own: tuple, goal: tuple, cand: tuple) -> np.ndarray:
         mean, v = _principal(data, min(k, *data.shape))
         data, x = (data - mean) @ v.T, (x - mean) @ v.T
     h = silverman2(data)
-    z = -_squares(x, data) / (2 * h * h)
-    top = z.max(axis=1)
-    return np.log(np.exp(z - top[:, None]).sum(axis=1)) + top - np.log(len(data) * 2 * np.pi * h * h)
+    out = np.empty(len(x))
+    rows = max(1, CELLS // len(data))
+    for i in range(0, len(x), rows):
+        z = -_squares(x[i : i + rows], data) / (2 * h * h)
+        top = z.max(axis=1)
+        out[i : i + rows] = np.log(np.exp(z - top[:, None]).sum(axis=1)) + top
+    return out - np.log(len(data) * 2 * np.pi * h * h)
 
 
 def score_block(context: pd.DataFrame, cand: pd.DataFrame, kernel) -> pd.DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pairloom.functions import vectors as V
-from pairloom.operators import kernels, selection
+from pairloom.operators import discrepancy, selection
 from pairloom.operators.pairs import centroids, mean_vector, small
 from pairloom.plans.base import PAIRS, add_sql, fill_sql, half_sql, mean_sql, part, raw_pairs, singles, table, unit_pairs, unit_sql
 
@@ -216,17 +216,14 @@ yy AS (SELECT a.domain, avg({_K('a.y', 'b.y')}) AS v FROM goalp a JOIN goalp b U
 xy AS (SELECT a.domain, avg({_K('a.x', 'b.y')}) AS v FROM x a JOIN goalp b USING (domain) GROUP BY a.domain)
 SELECT domain, round(xx.v + yy.v - 2 * xy.v, 6) AS mmd FROM xx JOIN yy USING (domain) JOIN xy USING (domain)""")
 def mmd_by_domain(spark, d):
-    """Train pairs against validation pairs, by kernel means: built-ins over the pairs of pairs of a domain."""
-    pairs = raw_pairs(spark, d).where("split <> 'test'").select("domain", F.col("split").alias("s"), V.mean2(F.col("l"), F.col("r")).alias("x"))
-    other = pairs.select("domain", F.col("s").alias("s2"), F.col("x").alias("y"))
-    square = F.pow(V.distance(F.col("x"), F.col("y")), 2)
-    k = F.exp(-square / F.size("x"))
-    both = pairs.join(other, "domain").groupBy("domain").agg(
-        F.avg(F.when((F.col("s") == "train") & (F.col("s2") == "train"), k)).alias("xx"),
-        F.avg(F.when((F.col("s") == "val") & (F.col("s2") == "val"), k)).alias("yy"),
-        F.avg(F.when((F.col("s") == "train") & (F.col("s2") == "val"), k)).alias("xy"),
-    )
-    return both.select("domain", r6(F.col("xx") + F.col("yy") - 2 * F.col("xy")).alias("mmd")).where("mmd IS NOT NULL")
+    """Train pairs against validation pairs, by kernel means over blocks of pairs."""
+    rows = discrepancy.mmd_by_domain(_halves(spark, d))
+    return rows.select("domain", r6("mmd").alias("mmd"))
+
+
+def _halves(spark, d):
+    pairs = raw_pairs(spark, d).where("split <> 'test'")
+    return pairs.select("domain", "pair_idx", F.col("split").alias("kind"), V.mean2(F.col("l"), F.col("r")).alias("v"))
 
 
 @query("kde1d_logdensity", f"""
@@ -236,19 +233,8 @@ tk AS (SELECT domain, pair_idx, unnest({half_sql('l', 'r')}) AS x, unnest(range(
 p AS (SELECT domain, pair_idx, k, ln(sum(exp(-2 * (x - y) * (x - y))) / (count(*) * 0.5 * sqrt(2 * pi()))) AS lp FROM tk JOIN gk USING (domain, k) GROUP BY ALL)
 SELECT domain, pair_idx, round(avg(lp), 6) AS log_density FROM p GROUP BY domain, pair_idx""")
 def kde1d_logdensity(spark, d):
-    pairs = raw_pairs(spark, d).where("split <> 'test'").select("domain", "pair_idx", "split", V.mean2(F.col("l"), F.col("r")).alias("v"))
-
-    def run(key, rows):
-        import numpy as np
-        import pandas as pd
-
-        own, goal = rows[rows["split"] == "train"], rows[rows["split"] == "val"]
-        if not len(own) or not len(goal):
-            return pd.DataFrame({"domain": [], "pair_idx": [], "log_density": []})
-        value = kernels.log_density(np.stack(own["v"].to_numpy()), np.stack(goal["v"].to_numpy())).mean(axis=1)
-        return pd.DataFrame({"domain": own["domain"], "pair_idx": own["pair_idx"], "log_density": np.round(value, 6)})
-
-    return pairs.groupBy("domain").applyInPandas(run, "domain int, pair_idx long, log_density double")
+    out = discrepancy.log_densities(_halves(spark, d))
+    return out.select("domain", "pair_idx", r6("log_density").alias("log_density"))
 
 
 @query("silverman_bandwidth", f"""
@@ -260,10 +246,8 @@ SELECT domain, n, round(CASE WHEN n < 5 THEN 1.0 ELSE greatest(1.06 * (a + b) /
 def silverman_bandwidth(spark, d):
     v = V.mean2(F.col("l"), F.col("r"))
     rows = raw_pairs(spark, d).select("domain", v[0].alias("x"), v[1].alias("y"))
-    spread = lambda c: F.least(F.stddev_samp(c), (F.percentile(c, F.lit(0.75)) - F.percentile(c, F.lit(0.25))) / 1.34)
-    q = rows.groupBy("domain").agg(F.count(F.lit(1)).alias("n"), spread("x").alias("a"), spread("y").alias("b"))
-    h = F.greatest(1.06 * (F.col("a") + F.col("b")) / 2 * F.pow("n", F.lit(-0.2)), F.lit(0.001))
-    return q.select("domain", "n", r6(F.when(F.col("n") < 5, 1.0).otherwise(h)).alias("bandwidth"))
+    n = F.count(F.lit(1))
+    return rows.groupBy("domain").agg(n.alias("n"), r6(discrepancy.silverman(F.col("x"), F.col("y"), n)).alias("bandwidth"))
 
 
 @query("select_kde2d")

@@ -432,3 +432,26 @@ def test_negatives_reach_further(spark):
     out = augment.negatives(table, augment.needed(table, len(rows) + 20), tries=1).collect()
     assert len(out) == 20
     assert [order.index(r["right"]) - order.index(r["left"]) for r in sorted(out, key=lambda r: order.index(r["right"]) - order.index(r["left"]))][:15] == [9] * 15
+
+
+def test_blocks_give_the_whole(spark, monkeypatch):
+    """Discrepancies and densities don't depend on the size of blocks."""
+    from pairloom.operators import discrepancy
+
+    rng = np.random.default_rng(5)
+    rows = [(d, i, "train" if i % 3 else "val", rng.normal(size=6).tolist()) for d in range(2) for i in range(40)] + [(9, 0, "train", [1.0] * 6)]
+    table = spark.createDataFrame(rows, "domain int, pair_idx long, kind string, v array<double>")
+    want = {}
+    for d in range(2):
+        x, y = (np.array([v for e, _, k, v in rows if e == d and k == kind]) for kind in ("train", "val"))
+        want[d] = kernels.mmd(x, y), kernels.log_density(x, y).mean(axis=1)
+    monkeypatch.setattr(kernels, "CELLS", 50)
+    for most in (7, 1000):
+        assert {r["domain"]: pytest.approx(r["mmd"]) for r in discrepancy.mmd_by_domain(table, most).collect()} == {d: want[d][0] for d in want}
+        got = discrepancy.log_densities(table, most).orderBy("domain", "pair_idx").collect()
+        assert [r["log_density"] for r in got] == pytest.approx(np.concatenate([want[0][1], want[1][1]]).tolist())
+    own, goal, cand = ((rng.normal(size=(n, 5)), rng.normal(size=(n, 5))) for n in (30, 20, 25))
+    small_blocks = [f(own, goal, cand) for f in (kernels.mmd_gain, kernels.kde_gain, kernels.kde2d_density)]
+    monkeypatch.setattr(kernels, "CELLS", 1 << 22)
+    for f, got in zip((kernels.mmd_gain, kernels.kde_gain, kernels.kde2d_density), small_blocks, strict=True):
+        assert np.allclose(got, f(own, goal, cand))
