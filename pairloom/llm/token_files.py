@@ -5,7 +5,8 @@ name and renamed, so a task that runs again leaves the same file. The driver get
 these the first id's number of each file follows.
 
 Defined results: null and empty texts are the end id alone. Rows that repeat a doc_id stay next to each other, the order
-among them by text. An empty table gives no file and an empty result. Only doc_id and text are read.
+among them by text. A text of any length is one document, and its ids may be any unsigned 32-bit numbers. An empty table
+gives no file and an empty result. Only doc_id and text are read.
 """
 
 from __future__ import annotations

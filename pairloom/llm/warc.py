@@ -11,8 +11,8 @@ record from its archive by range.
 
 Defined results: a null html is an empty payload; a null url has the empty key and no target URI. Rows that repeat a
 page_id are records each; those with the smallest page_id of a payload are all responses. Records without a page_id are
-responses, or revisits of the smallest id that there is. An empty table gives no files and an empty result. Other
-columns are not read.
+responses, or revisits of the smallest id that there is. Ids are cast to long; one that is no number is an error. Payloads
+of any length are one record. An empty table gives no files and an empty result. Other columns are not read.
 """
 
 from __future__ import annotations

@@ -417,6 +417,25 @@ def test_url_filter(spark):
     assert url_filter.judge(pages.limit(0)).count() == 0
 
 
+def test_url_filter_nulls_ties_and_long_urls(spark):
+    """Null ids, repeated rows, clashing names, a very long URL; of equal mined rules the first by tokens and verdict decides."""
+    long = "http://bad.example.net/" + "p/" * 5000 + "?" + "&".join(f"k{i}=1" for i in range(500))
+    urls = [(None, "http://a.net/"), (None, None), (1, "http://a.net/"), (1, "http://a.net/"), (2, long), (3, "://"), (4, "http://")]
+    urls += [(10 + k, f"http://x.example.com/de/tie/{k}") for k in range(30)] + [(50 + k, f"http://x.org/fr/knot/{k}") for k in range(30)]
+    urls += [(90, "http://other.info/a/tie"), (91, "http://other.info/tie"), (92, "http://x.info/tie/knot")]
+    pages = spark.createDataFrame([(i, u, "rule", 1, []) for i, u in urls], "page_id long, url string, tokens string, confidence int, items array<string>")
+    runs = [sorted(map(str, url_filter.judge(pages.repartition(k)).collect())) for k in (1, 5)]
+    assert runs[0] == runs[1] and len(runs[0]) == len(urls)
+    got = {r["page_id"]: r for r in url_filter.judge(pages).collect()}
+    assert (got[1]["rule"], got[1]["verdict"], got[2]["rule"]) == ("net/", "block", "net/")
+    assert got[2]["path"] == "/" + "p/" * 5000 and (got[3]["host"], got[4]["path"]) == ("", "")
+    matcher = url_filter.Matcher([{"antecedent": ["b"], "verdict": "block", "confidence": 1.0}, {"antecedent": ["a"], "verdict": "allow", "confidence": 1.0}])
+    assert matcher.best(["a", "b"]) == ("block", 1.0) and matcher.best(["c"]) == (None, None)
+    ties = spark.createDataFrame([(["a", "b"], "block")] * 5 + [(["c"], "allow")] * 5 + [(["b", "c"], None)], "tokens array<string>, verdict string")
+    mined = url_filter.mine(ties, 0.1, 0.5)
+    assert [(r["antecedent"], r["verdict"]) for r in mined] == [(["a"], "block"), (["b"], "block"), (["c"], "allow")]
+
+
 def test_tokens_of_the_whole_url(spark):
     urls = ["http://a.b.c.d.e.f.g.h.org/p/q/r/s7/t.html?id=1&page2=x;id=3&&=v&flag#z?no=1", "http://x.de/a#b://c?d=1", None, "none?x=1"]
     rows = spark.createDataFrame([(u,) for u in urls], "url string").select(url_filter.host_of().alias("host"), url_filter.path_of().alias("path"), url_filter.query_of().alias("query"))
@@ -748,6 +767,24 @@ def test_empty_tables(spark):
     assert quality.score(none, quality.fit([])).count() == 0
 
 
+def test_warc_nulls_and_large_payloads(spark):
+    """Records without an id, payloads of megabytes, long and odd URLs; all come back whole."""
+    import hashlib
+
+    large, same = "<p>" + prose(3, 300_000), "z" * 150
+    rows = [(None, "http://a.de/", same), (5, "http://a.de/" + "x" * 20_000, large), (6, None, large), (None, "http://b.de/", "only without an id " * 10), (7, "http://a.de/", same)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    folder = common.shared_path(spark, "warc")
+    captures = warc.write_archives(pages, f"{folder}/a")
+    files = warc.write_index(captures, f"{folder}/i")
+    got = warc.fetch(warc.lookup(files, captures.select("key").distinct())).collect()
+    digest = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    want = {(5, "response", None, len(large), digest(large)), (6, "revisit", 5, len(large), digest(large)), (7, "response", None, 150, digest(same)),
+            (None, "revisit", 7, 150, digest(same)), (None, "response", None, 190, digest(rows[3][2]))}
+    assert {(r["page_id"], r["record_type"], r["refers_to"], r["payload_bytes"], r["payload_digest"]) for r in got} == want and len(got) == 5
+    assert {bytes(r["payload"]) for r in got if r["page_id"] == 5} == {large.encode()}
+
+
 @pytest.mark.parametrize("limit", [1, 3, 10**6])
 def test_split_join(spark, limit):
     rows = [(k, ["a", "a", "a", None, "b"][k % 5]) for k in range(50)] + [(None, "a"), (7, "a"), (7, "a"), (1, "alone")]
