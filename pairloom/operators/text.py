@@ -1,4 +1,4 @@
-"""TF-IDF over pairs and the summariser, as joins and windows over tokens.
+"""TF-IDF over pairs as joins over tokens, and the summariser, over arrays of a pair's tokens.
 
 Fixed behaviour: the vocabulary is lower-cased but looked up with the token as it stands; COL and VAL are ranked with
 weight 0 and take length; the limit is per side. Ties in weight go to the first position.
@@ -6,9 +6,11 @@ weight 0 and take length; the limit is per side. Ties in weight go to the first
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pairloom.operators.pairs import small
+
 TOKEN = r"[\p{L}\p{N}_]{2,}"
 HEADS = ("COL", "VAL")
 
@@ -41,34 +43,57 @@ def side_tokens(pairs: DataFrame) -> DataFrame:
     return sides.select("pair_id", "side", F.posexplode(F.split("text", " ", -1)).alias("pos", "token"))
 
 
+def _with_idf(tokens: DataFrame, weights: DataFrame) -> DataFrame:
+    """tokens with the idf of their token (null: not in the vocabulary).
+
+    Only a vocabulary that is counted small is broadcast: Spark's estimates of exploded rows are far too low to go by.
+    """
+    return tokens.hint("merge").join(small(weights.select("token", "idf")), "token", "left")
+
+
 def pair_weights(tokens: DataFrame, weights: DataFrame, stopwords: tuple[str, ...] = ()) -> DataFrame:
     """pair_id, token, weight: how often a vocabulary token is in the pair, times its idf."""
     seen = tokens.where(~F.col("token").isin(*HEADS, *stopwords)).groupBy("pair_id", "token").agg(F.count(F.lit(1)).alias("n"))
-    return seen.join(weights.select("token", "idf"), "token").select("pair_id", "token", (F.col("n") * F.col("idf")).alias("weight"))
+    return _with_idf(seen, weights).where("idf IS NOT NULL").select("pair_id", "token", (F.col("n") * F.col("idf")).alias("weight"))
+
+
+def _ranked(first: str, max_len: int) -> Column:
+    """The pair's tokens in _kinds that a side has, heaviest first, then by their first place, which the field `first` holds."""
+    own = F.filter("_kinds", lambda x: x[first].isNotNull())
+    order = F.transform(own, lambda x: F.struct((-F.round(x["weight"], 9)).alias("w"), x[first].alias("pos"), x["token"].alias("token"), x["size"].alias("size")))
+    return F.slice(F.sort_array(order), 1, max_len)
+
+
+def _shown(heads: Column, ranked: Column, max_len: int) -> Column:
+    """A side's heads and the ranked tokens that fit, in their order."""
+
+    def add(state: Column, x: Column) -> Column:
+        total = state["total"] + x["size"]
+        return F.struct(total.alias("total"), (state["n"] + F.when(total <= max_len, 1).otherwise(0)).alias("n"))
+
+    start = F.struct(F.size(heads).cast("long").alias("total"), F.lit(0).alias("n"))
+    fitting = F.slice(ranked, F.lit(1), F.aggregate(ranked, start, add, lambda state: state["n"]))
+    kept = F.transform(F.filter(fitting, lambda x: ~x["token"].isin(*HEADS)), lambda x: F.struct(x["pos"].alias("pos"), x["token"].alias("token")))
+    text = F.transform(F.sort_array(F.concat(heads, kept)), lambda x: F.concat(x["token"], F.lit(" ")))
+    return F.coalesce(F.array_join(text, ""), F.lit(""))
 
 
 def summarize(pairs: DataFrame, weights: DataFrame, max_len: int, stopwords: tuple[str, ...] = (), length=None) -> DataFrame:
     """pair_id, left, right: each side's heads, and its heaviest tokens once each in their order, within max_len.
 
-    length(token column) counts a token's pieces; one by default.
+    length(token column) counts a token's pieces; one by default. A pair's different tokens become one array next to its
+    texts, so only the vocabulary is joined by token, and no join has a row for each place of a token.
     """
     size = length or (lambda c: F.lit(1))
-    tokens = side_tokens(pairs)
-    heavy = pair_weights(tokens, weights, stopwords)
-    key = ["pair_id", "side"]
-    kinds = tokens.groupBy(*key, "token").agg(F.min("pos").alias("first"), F.count(F.lit(1)).alias("n"))
-    kinds = kinds.join(heavy, ["pair_id", "token"], "left").withColumn("weight", F.coalesce("weight", F.lit(0.0)))
-    by_rank = Window.partitionBy(*key).orderBy(F.desc(F.round("weight", 9)), "first")
-    heads = F.sum(F.when(F.col("token").isin(*HEADS), F.col("n")).otherwise(0)).over(Window.partitionBy(*key))
-    used = F.sum(size(F.col("token"))).over(by_rank.rowsBetween(Window.unboundedPreceding, 0))
-    ranked = kinds.withColumn("rank", F.row_number().over(by_rank)).withColumn("total", heads + used)
-    kept = ranked.where((F.col("rank") <= max_len) & (F.col("total") <= max_len)).select(*key, "token", F.lit(1).alias("kept"))
-    marked = tokens.join(kept, [*key, "token"], "left")
-    first = F.row_number().over(Window.partitionBy(*key, "token").orderBy("pos")) == 1
-    shown = marked.withColumn("is_first", first).where(F.col("token").isin(*HEADS) | (F.col("is_first") & (F.col("kept") == 1)))
-    texts = shown.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("pos", "token"))).alias("t"))
-    texts = texts.select(*key, F.array_join(F.transform("t", lambda x: F.concat(x["token"], F.lit(" "))), "").alias("text"))
-    both = texts.groupBy("pair_id").agg(*[F.max(F.when(F.col("side") == k, F.col("text"))).alias(c) for k, c in ((0, "left"), (1, "right"))])
-    return pairs.select("pair_id", "label").join(both, "pair_id", "left").select(
-        "pair_id", F.coalesce("left", F.lit("")).alias("left"), F.coalesce("right", F.lit("")).alias("right"), "label"
+    first = lambda side: F.min(F.when(F.col("side") == side, F.col("pos")))
+    kinds = side_tokens(pairs).groupBy("pair_id", "token").agg(F.count(F.lit(1)).alias("n"), first(0).alias("in_left"), first(1).alias("in_right"))
+    weight = F.when(~F.col("token").isin(*HEADS, *stopwords), F.col("n") * F.col("idf"))
+    kinds = _with_idf(kinds, weights).select(
+        "pair_id", F.struct("token", F.coalesce(weight, F.lit(0.0)).alias("weight"), size(F.col("token")).cast("long").alias("size"), "in_left", "in_right").alias("kind")
     )
+    kinds = kinds.groupBy("pair_id").agg(F.collect_list("kind").alias("_kinds"))
+    both = pairs.select("pair_id", "left", "right", "label").join(kinds.hint("merge"), "pair_id", "left")
+    places = lambda c: F.transform(F.split(c, " ", -1), lambda x, i: F.struct(i.alias("pos"), x.alias("token")))
+    heads = lambda c: F.filter(places(c), lambda x: x["token"].isin(*HEADS))
+    both = both.select("pair_id", "label", *[x for c in ("left", "right") for x in (heads(c).alias(f"heads_{c}"), _ranked(f"in_{c}", max_len).alias(f"ranked_{c}"))])
+    return both.select("pair_id", *[_shown(F.col(f"heads_{c}"), F.col(f"ranked_{c}"), max_len).alias(c) for c in ("left", "right")], "label")

@@ -455,3 +455,46 @@ def test_blocks_give_the_whole(spark, monkeypatch):
     monkeypatch.setattr(kernels, "CELLS", 1 << 22)
     for f, got in zip((kernels.mmd_gain, kernels.kde_gain, kernels.kde2d_density), small_blocks, strict=True):
         assert np.allclose(got, f(own, goal, cand))
+
+
+def _plain_summary(sides, weights, max_len, size):
+    """The summariser over one pair, token by token."""
+    count = {}
+    for token in (t for s in sides for t in (s or "").split(" ")):
+        if token not in ("COL", "VAL", "the") and token in weights:
+            count[token] = count.get(token, 0) + weights[token]
+    out = []
+    for s in sides:
+        tokens = [] if s is None else s.split(" ")
+        total, kept = sum(t in ("COL", "VAL") for t in tokens), set()
+        for t in sorted(dict.fromkeys(tokens), key=lambda t: (-round(count.get(t, 0), 9), tokens.index(t)))[:max_len]:
+            total += size(t)
+            if total > max_len:
+                break
+            kept.add(t)
+        shown = [t for i, t in enumerate(tokens) if t in ("COL", "VAL") or (t in kept and t not in tokens[:i])]
+        out.append("".join(f"{t} " for t in shown))
+    return tuple(out)
+
+
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_summary_joins_no_token_rows(spark, tmp_path, monkeypatch, broadcast):
+    import random
+
+    rnd = random.Random(5)
+    words = ["COL", "VAL", "the", "", *[f"w{i}" * (1 + i % 3) for i in range(30)]]
+    side = lambda: None if rnd.random() < 0.05 else " ".join(rnd.choice(words) for _ in range(rnd.randrange(25)))
+    rows = [(i, side(), side(), i % 2) for i in range(200)]
+    spark.createDataFrame(rows, "pair_id long, left string, right string, label int").write.parquet(f"{tmp_path}/pairs")
+    pairs = spark.read.parquet(f"{tmp_path}/pairs")
+    weights = text.idf(pairs)
+    idf = {r["token"]: r["idf"] for r in weights.collect()}
+    if not broadcast:
+        monkeypatch.setattr(text, "small", lambda df: df)
+    for length, size in ((None, lambda t: 1), (F.length, len)):
+        out = text.summarize(pairs, weights, 9, ("the",), length)
+        got = {r["pair_id"]: (r["left"], r["right"]) for r in out.collect()}
+        assert got == {i: _plain_summary((a, b), idf, 9, size) for i, a, b, _ in rows}
+        # Tables of tokens look small to the optimizer, whatever they are: only the counted vocabulary may go through the driver.
+        plan = out._jdf.queryExecution().sparkPlan().toString()
+        assert plan.count("BroadcastHashJoin") == plan.count("BroadcastHashJoin [token") == int(broadcast)
