@@ -377,8 +377,8 @@ def _ipc(table: pa.RecordBatch) -> bytes:
     return sink.getvalue().to_pybytes()
 
 
-def base_of(ids: np.ndarray) -> tuple[bytes, Base, np.ndarray]:
-    """The stored base of ids, the base, and the ids as places in it."""
+def counted(ids: np.ndarray) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
+    """The stored base of ids, its ids and their counts, and the ids as places in it."""
     if int(ids.max()) < 1 << 22:
         counts = np.bincount(ids)
         known = np.flatnonzero(counts)
@@ -390,36 +390,35 @@ def base_of(ids: np.ndarray) -> tuple[bytes, Base, np.ndarray]:
     keep = np.maximum(np.frexp(counts.astype("float64"))[1] - 8, 0)
     counts = (counts >> keep) << keep
     step = np.diff(known, prepend=0)
-    return _ipc(pa.RecordBatch.from_arrays([pa.array(step.astype("uint32")), pa.array(counts.astype("uint32"))], names=["step", "count"])), Base(known.astype("uint32"), counts), places
+    stored = _ipc(pa.RecordBatch.from_arrays([pa.array(step.astype("uint32")), pa.array(counts.astype("uint32"))], names=["step", "count"]))
+    return stored, known.astype("uint32"), counts, places
 
 
-def stored_base(data: bytes) -> Base:
+def base_of(ids: np.ndarray) -> tuple[bytes, Base, np.ndarray]:
+    """The stored base of ids, the base, and the ids as places in it."""
+    stored, known, counts, places = counted(ids)
+    return stored, Base(known, counts), places
+
+
+def stored_counts(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The ids and counts of a stored base."""
     table = pa.ipc.open_stream(data).read_all()
-    return Base(np.cumsum(table["step"].to_numpy().astype("int64")).astype("uint32"), table["count"].to_numpy())
+    return np.cumsum(table["step"].to_numpy().astype("int64")).astype("uint32"), table["count"].to_numpy()
 
 
-def file_chunks(docs: Iterator[tuple[object, bytes]], id_type: pa.DataType, counts: dict, block: int = BLOCK, lanes: int = LANES) -> Iterator[bytes]:
-    """The bytes of a file for (doc_id, ids as little-endian unsigned 32-bit bytes); counts gets n_docs and n_tokens."""
-    yield MAGIC
-    at, names, sizes, places = len(MAGIC), [], [], []
+def stored_base(data: bytes) -> Base:
+    return Base(*stored_counts(data))
+
+
+def framed(n: int, data: bytes, crc: int) -> bytes:
+    """A base or a block as it stands in a file."""
+    return struct.pack("<III", n, len(data), crc) + data
+
+
+def groups_of(docs: Iterator[tuple[object, bytes]], names: list, sizes: list[int], group: int = 4 * BLOCK * LANES) -> Iterator[bytes]:
+    """The ids of all documents in pieces of `group` bytes; names and sizes get each document's id and number of ids."""
     held: list[bytes] = []
     held_bytes = 0
-
-    def flush(data: bytes) -> Iterator[bytes]:
-        nonlocal at
-        ids = np.frombuffer(data, "<u4")
-        stored, base, own = base_of(ids)
-        parts = [(len(base.ids), stored, zlib.crc32(stored))]
-        for i, payload in enumerate(encode_blocks(own, base, block)):
-            piece = data[4 * i * block : 4 * (i + 1) * block]
-            parts.append((len(piece) // 4, payload, zlib.crc32(piece)))
-        places.append((at, len(ids), len(parts) - 1))
-        for n, payload, crc in parts:
-            head = struct.pack("<III", n, len(payload), crc)
-            at += len(head) + len(payload)
-            yield head + payload
-
-    group = 4 * block * lanes
     for name, ids in docs:
         names.append(name)
         sizes.append(len(ids) // 4)
@@ -428,15 +427,39 @@ def file_chunks(docs: Iterator[tuple[object, bytes]], id_type: pa.DataType, coun
         if held_bytes >= group:
             data = memoryview(b"".join(held))
             for a in range(0, len(data) - group + 1, group):
-                yield from flush(bytes(data[a : a + group]))
+                yield bytes(data[a : a + group])
             held = [bytes(data[len(data) // group * group :])]
             held_bytes = len(held[0])
     if held_bytes:
-        yield from flush(b"".join(held))
-    counts |= {"n_docs": len(names), "n_tokens": sum(sizes)}
-    a = _ipc(pa.RecordBatch.from_arrays([pa.array(names, id_type), pa.array(sizes, pa.int64())], names=["doc_id", "n_tokens"]))
+        yield b"".join(held)
+
+
+def docs_part(names: list, sizes: list[int], id_type: pa.DataType) -> bytes:
+    """The footer's stream of documents."""
+    return _ipc(pa.RecordBatch.from_arrays([pa.array(names, id_type), pa.array(sizes, pa.int64())], names=["doc_id", "n_tokens"]))
+
+
+def footer(docs: bytes, places: list[tuple[int, int, int]]) -> bytes:
+    """What follows the groups; places: offset, ids and blocks of each."""
     b = _ipc(pa.RecordBatch.from_arrays([pa.array([p[i] for p in places], pa.int64()) for i in range(3)], names=["offset", "n_tokens", "n_blocks"]))
-    yield a + b + struct.pack("<QQ", len(a), len(b)) + MAGIC
+    return docs + b + struct.pack("<QQ", len(docs), len(b)) + MAGIC
+
+
+def file_chunks(docs: Iterator[tuple[object, bytes]], id_type: pa.DataType, counts: dict, block: int = BLOCK, lanes: int = LANES) -> Iterator[bytes]:
+    """The bytes of a file for (doc_id, ids as little-endian unsigned 32-bit bytes); counts gets n_docs and n_tokens."""
+    yield MAGIC
+    at, names, sizes, places = len(MAGIC), [], [], []
+    for data in groups_of(docs, names, sizes, 4 * block * lanes):
+        stored, base, own = base_of(np.frombuffer(data, "<u4"))
+        parts = [framed(len(base.ids), stored, zlib.crc32(stored))]
+        for i, payload in enumerate(encode_blocks(own, base, block)):
+            piece = data[4 * i * block : 4 * (i + 1) * block]
+            parts.append(framed(len(piece) // 4, payload, zlib.crc32(piece)))
+        places.append((at, len(data) // 4, len(parts) - 1))
+        at += sum(map(len, parts))
+        yield from parts
+    counts |= {"n_docs": len(names), "n_tokens": sum(sizes)}
+    yield footer(docs_part(names, sizes, id_type), places)
 
 
 def read_group(data: bytes, n_blocks: int) -> bytes:
@@ -458,17 +481,36 @@ def read_group(data: bytes, n_blocks: int) -> bytes:
     return b"".join(ids)
 
 
-def read_file(reader) -> Iterator[tuple[object, bytes]]:
-    """(doc_id, ids as little-endian unsigned 32-bit bytes) of each document of an open file; checks each block."""
+def read_footer(reader) -> tuple[bytes, list[tuple[int, int, int]]]:
+    """The footer's stream of documents; offset, bytes and blocks of each group."""
     tail = 16 + len(MAGIC)
     a, b, end = struct.unpack(f"<QQ{len(MAGIC)}s", reader.read(reader.size - tail, tail))
     if end != MAGIC or reader.read(0, len(MAGIC)) != MAGIC:
         raise ValueError("not a token file")
     stop = reader.size - tail - b - a
-    docs = pa.ipc.open_stream(reader.read(stop, a)).read_all()
     places = pa.ipc.open_stream(reader.read(stop + a, b)).read_all()
     offsets, blocks = [*places["offset"].to_pylist(), stop], places["n_blocks"].to_pylist()
-    source = (read_group(reader.read(o, z - o), n) for o, z, n in zip(offsets, offsets[1:], blocks, strict=False))
+    return reader.read(stop, a), [(o, z - o, n) for o, z, n in zip(offsets, offsets[1:], blocks, strict=False)]
+
+
+def split_group(data: bytes, n_blocks: int, most: int) -> tuple[bytes, list[bytes]]:
+    """The stored base of a group, checked, and its blocks as they stand there, in pieces of at most `most` blocks."""
+    n, size, crc = struct.unpack_from("<III", data)
+    stored, at, pieces = data[12 : 12 + size], 12 + size, []
+    if zlib.crc32(stored) != crc:
+        raise ValueError("a base is damaged")
+    while n_blocks:
+        begin = at
+        for _ in range(min(most, n_blocks)):
+            at += 12 + struct.unpack_from("<I", data, at + 4)[0]
+            n_blocks -= 1
+        pieces.append(data[begin:at])
+    return stored, pieces
+
+
+def documents_of(docs: bytes, source: Iterator[bytes]) -> Iterator[tuple[object, bytes]]:
+    """(doc_id, ids) of each document in the footer's stream; source gives the ids of all in pieces."""
+    docs = pa.ipc.open_stream(docs).read_all()
     held, at = b"", 0
     for name, n in zip(docs["doc_id"].to_pylist(), docs["n_tokens"].to_pylist(), strict=True):
         need = 4 * n
@@ -480,3 +522,9 @@ def read_file(reader) -> Iterator[tuple[object, bytes]]:
         parts.append(held[at : at + need])
         at += need
         yield name, b"".join(parts)
+
+
+def read_file(reader) -> Iterator[tuple[object, bytes]]:
+    """(doc_id, ids as little-endian unsigned 32-bit bytes) of each document of an open file; checks each block."""
+    docs, groups = read_footer(reader)
+    yield from documents_of(docs, (read_group(reader.read(o, size), n) for o, size, n in groups))

@@ -177,14 +177,14 @@ class Encoder:
         return out
 
 
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[tuple[str, int], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, memo: int = MEMO) -> Encoder:
     """This process's encoder for a tokenizer file."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    if (path, memo) not in _encoders:
+        _encoders[path, memo] = Encoder(path, memo)
+    return _encoders[path, memo]
 
 
 def default_tokenizer() -> str:

@@ -854,3 +854,67 @@ def test_op_queries_and_pipeline(spark, tmp_path):
     docs(spark, []).write.parquet(f"{tmp_path}/empty/documents.parquet")
     labels(spark, []).write.parquet(f"{tmp_path}/empty/labels.parquet")
     assert corpus_pipeline.run(spark, f"{tmp_path}/empty").count() == 0
+
+
+def test_compiled_coder(spark):
+    """The JVM's coder gives the plain one's bytes and reads them, for narrow and wide places, several pieces and a short last block."""
+    import pyarrow as pa
+
+    from pairloom.llm import jvm_codec
+
+    jvm_codec.register(spark)
+    rng = np.random.default_rng(3)
+    some = (rng.zipf(1.3, 20_000) % 50_000).astype("u4")
+    kinds = (np.concatenate([some, some[:5000]]), rng.permutation(np.arange(70_000, dtype="u4") * 61_000), np.zeros(9000, "u4"), np.array([2**32 - 1, 0, 7], "u4"))
+    for ids in kinds:
+        chunks = list(token_codec.file_chunks(iter([(1, ids.astype("<u4").tobytes())]), pa.int64(), {}))
+        blocks = b"".join(chunks[2:-1])
+        _, known, counts, places = token_codec.counted(ids)
+        row = [x.tobytes() for x in (places.astype("<u2" if len(known) <= 1 << 16 else "<u4"), known.astype("<u4"), counts.astype("<u4"))]
+        table = spark.createDataFrame([tuple(map(bytearray, (*row, blocks)))], "places binary, ids binary, counts binary, blocks binary")
+        out = table.select(jvm_codec.encoded("places", "ids", "counts").alias("blocks"), jvm_codec.decoded("blocks", "ids", "counts").alias("ids")).first()
+        assert bytes(out["blocks"]) == blocks and bytes(out["ids"]) == ids.astype("<u4").tobytes()
+    broken = table.withColumn("blocks", F.lit(bytearray(blocks[:8] + bytes([blocks[8] ^ 1]) + blocks[9:])))
+    with pytest.raises(Exception, match="damaged"):
+        broken.select(jvm_codec.decoded("blocks", "ids", "counts")).collect()
+
+
+def test_token_files_are_plain_files(spark, tmp_path):
+    """The files are those that token_codec writes, and it reads them."""
+    import pyarrow as pa
+
+    from pairloom.llm import store
+
+    table = docs(spark, mess()).repartition(3)
+    files = token_files.write_tokens(table, f"file://{tmp_path}/t").orderBy("part").collect()
+    back = [(r["doc_id"], bytes(r["ids"])) for r in token_files.read_tokens(spark.createDataFrame(files)).orderBy("start").collect()]
+    found = []
+    for f in files:
+        with store.Reader(f["path"]) as r:
+            plain = list(token_codec.read_file(r))
+            data = r.read(0, r.size)
+        assert len(plain) == f["n_docs"] and sum(len(ids) // 4 for _, ids in plain) == f["n_tokens"] and len(data) == f["n_bytes"]
+        assert data == b"".join(token_codec.file_chunks(iter(plain), pa.int64(), {}))
+        found += plain
+    assert back == found and len(found) == table.count()
+
+
+def test_pieces_of_groups(monkeypatch):
+    """What goes to the JVM in pieces of some blocks is the whole group, and so is what comes back from a file."""
+    import zlib
+
+    import pyarrow as pa
+
+    monkeypatch.setattr(token_files, "PIECE", 2)
+    rng = np.random.default_rng(4)
+    texts = [" ".join(map(str, rng.integers(0, 9999, n))) for n in (20_000, 1, 9000)]
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array([1, 2, 3], pa.int64()), "text": texts})
+    *pieces, last = [r for b in token_files._groups(iter([batch]), tokenize.default_tokenizer(), 2) for r in b.to_pylist()]
+    ids = np.concatenate([np.frombuffer(r["ids"], "<u4")[np.frombuffer(r["places"], "<u2")] for r in pieces]).tobytes()
+    own = [e + np.array([2], "<u4").tobytes() for e in tokenize.encoder(tokenize.default_tokenizer()).encode(texts)]
+    assert ids == b"".join(own) and len(pieces) > 3 and [r["stored"] is None for r in pieces] == [False] + [True] * (len(pieces) - 1)
+    assert list(token_codec.documents_of(last["docs"], iter([ids[:999], ids[999:]]))) == list(zip([1, 2, 3], own, strict=True))
+    chunks = list(token_codec.file_chunks(iter(zip([1, 2, 3], own, strict=True)), pa.int64(), {}))
+    stored, parts = token_codec.split_group(b"".join(chunks[1:-1]), len(chunks) - 3, 2)
+    assert chunks[1] == token_codec.framed(len(np.unique(np.frombuffer(ids, "<u4"))), stored, zlib.crc32(stored)) == pieces[0]["stored"]
+    assert b"".join(parts) == b"".join(chunks[2:-1]) and len(parts) == len(pieces)
