@@ -177,6 +177,35 @@ def test_pieces_equal_the_library():
     assert small.encode(texts) == whole
 
 
+def test_new_words_go_to_the_library_together():
+    """Each different word once, many in a call; with the same ids if no byte is free to join them with."""
+    enc = tokenize.Encoder(tokenize.default_tokenizer())
+    rng, real, calls = random.Random(4), enc.tokenizer, []
+    some = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    words = [some("abcdeinorstéü", rng.randint(5, 12)) + some(".,$#%&-'_~\x00", rng.choice([0, 0, 1, 3])) for _ in range(3000)]
+    texts = [" ".join(rng.choices(words, k=200)).replace("e ", "e\n") for _ in range(50)]
+    whole = enc._whole(texts)
+
+    class Counting:
+        @property
+        def model(self):
+            return self
+
+        def tokenize(self, text):
+            calls.append(text)
+            return real.model.tokenize(text)
+
+        def __getattr__(self, name):
+            return getattr(real, name)
+
+    enc.tokenizer = Counting()
+    assert enc.encode(texts) == whole
+    assert len(calls) < 100
+    alone = tokenize.Encoder(tokenize.default_tokenizer())
+    alone.between = None
+    assert alone.encode(texts) == whole
+
+
 def test_long_texts_equal_the_library(monkeypatch):
     """Cuts of long texts, a memo that turns over inside a text, and packing that is linear in the text's length."""
     import time
