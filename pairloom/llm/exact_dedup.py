@@ -80,14 +80,16 @@ class DigestIndex:
         return self.spark.table(self.table)
 
     def append(self, rows: DataFrame) -> None:
-        """One file a bucket: the rows are dealt out by digest as the buckets are."""
+        """One file a bucket at most: the rows are dealt out by their buckets."""
         self.expect(0)
         self._insert(rows)
         if len(self.read().inputFiles()) > FILES * self.buckets:
             self.compact()
 
     def _insert(self, rows: DataFrame) -> None:
-        rows.select("digest", "keep_id", "n_points").repartition(self.buckets, "digest").write.insertInto(self.table)
+        # By the bucket's own number: dealt by digest, each of more partitions than buckets would write a file in every bucket.
+        bucket = F.pmod(F.hash("digest"), F.lit(self.buckets))
+        rows.select("digest", "keep_id", "n_points").repartitionById(self.buckets, bucket).write.insertInto(self.table)
 
     def compact(self) -> None:
         """Writes the index anew under a name that doesn't count yet, renames it, and takes the old one away."""

@@ -75,6 +75,17 @@ def test_exact_dedup_index_is_written_anew(spark, tmp_path, monkeypatch):
     assert not [t.name for t in spark.catalog.listTables() if t.name == index.table]
 
 
+def test_exact_dedup_index_has_a_file_a_bucket_however_keys_are_dealt(spark, tmp_path, monkeypatch):
+    frame = type(spark.range(0))
+    plain = frame.repartition
+    monkeypatch.setattr(frame, "repartition", lambda self, n, *cols: plain(self, max(13, n) if cols and isinstance(n, int) else n, *cols))
+    rows = docs(spark, [(k, f"text {k}", "s") for k in range(200)])
+    index = exact_dedup.new_index(rows, f"file://{tmp_path}/index", 3)
+    assert exact_dedup.deduplicate(rows, index).where("kept").count() == 200
+    assert index.generation == 0 and len(index.read().inputFiles()) == 3 and index.read().count() == 200
+    index.close()
+
+
 def test_kept_rows_by_rule(spark):
     """Rows that repeat a doc_id: the longest text stays, then the smallest; columns that operators use inside are no trouble."""
     rows = [(1, "a b", "z"), (1, "ab", "z"), (1, "a   b", "z"), (1, "a \t b", "z"), (2, "ab", "z"), (None, "n  n", "z"), (None, "nn", "z")]
